@@ -106,6 +106,33 @@ SELECT s.*, 'SAMPLE_' || substr(sha1(ent || '|' || fid), 1, 16) AS sid, ln(xpx /
   CASE WHEN en <= {TRAIN_END} THEN 'train' WHEN en <= {VALIDATION_END} THEN 'validation' ELSE 'test' END AS split
 FROM staged_{_level} s JOIN cal ca ON ca.date = en JOIN cal cb ON cb.date = ex WHERE reason IS NULL""")
 
+    fragment(f"dr_{_level}", f"""
+SELECT *, ln(px / lag(px) OVER w) AS lr, row_number() OVER w AS rn FROM px_{_level}
+WINDOW w AS (PARTITION BY mkt ORDER BY date)""")
+    fragment(f"dv_{_level}", f"""
+SELECT mkt, date, CASE WHEN count(lr) OVER w >= 126 THEN stddev_samp(lr) OVER w END AS dvol
+FROM dr_{_level} WINDOW w AS (PARTITION BY mkt ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""")
+    fragment(f"evl_{_level}", f"""
+SELECT *, list(ret) OVER (PARTITION BY ent ORDER BY en, sid ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS past
+FROM smp_{_level}""")
+    fragment(f"ev2_{_level}", f"""
+SELECT *, list_aggregate(past, 'median') AS mid FROM evl_{_level}""")
+    fragment(f"ev3_{_level}", f"""
+SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - mid)), 'median') AS mad FROM ev2_{_level}""")
+    fragment(f"ev4_{_level}", f"""
+SELECT *, CASE WHEN len(past) < 4 THEN NULL WHEN mad > 0 THEN 1.4826 * mad
+  ELSE nullif(list_aggregate(past, 'stddev_samp'), 0) END AS evol FROM ev3_{_level}""")
+    fragment(f"ev5_{_level}", f"""
+SELECT s.*, v.dvol FROM ev4_{_level} s ASOF LEFT JOIN dv_{_level} v ON s.mkt = v.mkt AND s.en > v.date""")
+    fragment(f"ev6_{_level}", f"""
+SELECT *, dvol * sqrt(greatest(hold, 1)) AS sd FROM ev5_{_level}""")
+    fragment(f"scl_{_level}", f"""
+SELECT *, least(greatest(CASE WHEN evol IS NULL THEN sd WHEN sd IS NULL THEN evol
+  ELSE 0.7 * sd + 0.3 * evol END, 0.02), 1.0) AS raw_scale,
+  CASE WHEN evol IS NULL AND sd IS NULL THEN NULL ELSE least(greatest(
+   CASE WHEN evol IS NULL THEN sd WHEN sd IS NULL THEN evol ELSE 0.7 * sd + 0.3 * evol END, 0.02), 1.0) END AS scale
+FROM ev6_{_level}""")
+
 fragment("index_px", """
 SELECT 'SPY' AS sym, date, sum(px * vol) / sum(vol) AS px FROM px_region GROUP BY 2
 UNION ALL SELECT 'QQQ', date, px FROM px_region WHERE mkt = 'MKT0'""")
@@ -115,3 +142,46 @@ def samples(level: str = "region") -> str:
     """Names of the fragments up to event samples."""
     return (f"{CAL} co_{level} px_{level} fil_{level} ranked_{level} kept_{level} "
             f"paired_{level} staged_{level} smp_{level}")
+
+
+def scaled(level: str = "region") -> str:
+    """Names of the fragments up to samples with an ex-ante scale (``scl_``)."""
+    return samples(level) + "".join(
+        f" {n}_{level}" for n in ("dr", "dv", "evl", "ev2", "ev3", "ev4", "ev5", "ev6", "scl"))
+
+
+_FACT_ROWS = """
+SELECT 'COMP' || lpad(o_custkey::VARCHAR, 10, '0') AS ent, l_returnflag AS tax, {concept} AS con,
+  l_linestatus AS unit, l_extendedprice AS val, last_day(l_shipdate)::DATE AS pe,
+  'Q' || quarter(l_shipdate)::VARCHAR AS fp,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 0 ELSE 1 END AS fr,
+  l_shipdate::DATE AS acc, l_orderkey * 8 + l_linenumber AS fact_id
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+for _k, _concept in (("fine", "p_brand"), ("coarse", "'ALL'")):
+    fragment(f"fact_{_k}", _FACT_ROWS.format(concept=_concept))
+    fragment(f"fmap_{_k}", f"""
+SELECT 'feature_' || lpad((row_number() OVER (ORDER BY tax, con, unit) - 1)::VARCHAR, 6, '0') AS fid, * FROM (
+  SELECT tax, con, unit, count(DISTINCT ent) AS nc, count(*) AS nf FROM fact_{_k}
+  WHERE acc <= (SELECT max(acc)::DATE FROM smp_region WHERE split = 'train') GROUP BY ALL)
+WHERE nc >= 20 AND 100.0 * nf / (SELECT count(*) FROM smp_region WHERE split = 'train') >= 1""")
+    fragment(f"vis_{_k}", f"""
+SELECT s.sid, s.split, s.en, m.fid, f.pe, f.val, f.acc, f.fp, row_number() OVER (
+  PARTITION BY s.sid, m.fid, f.pe ORDER BY f.fr DESC, f.acc DESC, f.fact_id) AS rn
+FROM smp_region s JOIN fact_{_k} f ON f.ent = s.ent AND f.acc <= s.acc::DATE
+JOIN fmap_{_k} m ON m.tax = f.tax AND m.con = f.con AND m.unit = f.unit""")
+    fragment(f"cell_{_k}", f"""
+SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY sid ORDER BY pe DESC) - 1 AS off
+  FROM vis_{_k} WHERE rn = 1) WHERE off < 8""")
+    fragment(f"stat_{_k}", f"""
+SELECT off, fid, quantile_cont(sl, 0.5) AS med, quantile_cont(sl, 0.75) - quantile_cont(sl, 0.25) AS iqr FROM (
+  SELECT *, sign(val) * ln(1 + abs(val)) AS sl FROM cell_{_k} WHERE split = 'train') GROUP BY 1, 2""")
+    fragment(f"sca_{_k}", f"""
+SELECT c.*, least(greatest((sign(val) * ln(1 + abs(val)) - coalesce(med, 0))
+  / CASE WHEN iqr > 0 THEN iqr ELSE 1e-6 END, -10), 10) AS sval
+FROM cell_{_k} c LEFT JOIN stat_{_k} s ON s.off = c.off AND s.fid = c.fid""")
+
+
+def cells(kind: str = "fine") -> str:
+    """Names of the fragments up to scaled fact cells (``cell_``, ``sca_``)."""
+    return samples() + "".join(f" {n}_{kind}" for n in
+                               ("fact", "fmap", "vis", "cell", "stat", "sca"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
 from eventide.operators import calendar as cal
-from eventide.operators import events
+from eventide.operators import asof, events, feature_encoding, scale_target
 from eventide.session import materialize
 
 TRAIN_END = "1998-12-31"
@@ -62,7 +62,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
                .agg(F.min("d").cast("string").alias("lo"), F.max("d").cast("string").alias("hi"))
                .first())
         _SPANS[key] = (row.lo, row.hi)
-    return cal.calendar_between(spark, *_SPANS[key])
+    return staged(spark, sf_dir, "calendar", lambda: cal.calendar_between(spark, *_SPANS[key]))
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,15 @@ def event_samples(spark: SparkSession, sf_dir: str, level: str = "region") -> Da
     return staged(spark, sf_dir, f"samples_{level}", build)
 
 
+def scaled_samples(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
+    """Event samples with their ex-ante scale and tanh target, staged."""
+    def build() -> DataFrame:
+        scaled = scale_target.with_ex_ante_scale(
+            event_samples(spark, sf_dir, level), prices(spark, sf_dir, level), "market_id")
+        return scale_target.with_target(scaled)
+    return staged(spark, sf_dir, f"scaled_{level}", build)
+
+
 def facts(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """Shipped lines as reported values of an (entity, concept, period)."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -168,3 +177,38 @@ def facts(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
         .when(F.col("o_orderpriority") == "5-LOW", "8-K").otherwise("10-Q").alias("form_type"),
         F.col("ship").alias("accepted_date"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_id"))
+
+
+MIN_COMPANIES = 20
+
+
+def train_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_samples(spark, sf_dir).where(F.col("split") == "train")
+
+
+def feature_map(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    def build() -> DataFrame:
+        train = train_samples(spark, sf_dir)
+        visible = feature_encoding.visible_facts(facts(spark, sf_dir, coarse), train)
+        return feature_encoding.fit_feature_map(
+            visible, min_companies=MIN_COMPANIES, n_samples=train.agg(F.count(F.lit(1))).scalar())
+    return staged(spark, sf_dir, f"feature_map_{coarse}", build)
+
+
+def cells(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    """Point-in-time fact cells of every sample, staged."""
+    def build() -> DataFrame:
+        mapped = feature_encoding.map_facts(facts(spark, sf_dir, coarse),
+                                            feature_map(spark, sf_dir, coarse))
+        samples = event_samples(spark, sf_dir).select(
+            "sample_id", "internal_company_id", "accepted_datetime", "entry_date")
+        return (feature_encoding.fact_cells(samples, feature_encoding.fact_versions(mapped))
+                .join(event_samples(spark, sf_dir).select("sample_id", "split"), "sample_id"))
+    return staged(spark, sf_dir, f"cells_{coarse}", build)
+
+
+def grid(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
+    """Forward-filled daily prices of every market on every trading day, staged."""
+    return staged(spark, sf_dir, f"grid_{level}", lambda: asof.filled_grid(
+        prices(spark, sf_dir, level), cal.trading_days(calendar(spark, sf_dir)), "market_id",
+        ["adjusted_close", "volume"]))
