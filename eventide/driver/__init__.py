@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["event_queries", "feature_queries", "market_queries"]
+MODULES = ["event_queries", "feature_queries", "market_queries", "weight_queries"]
 
 
 def load():

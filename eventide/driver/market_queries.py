@@ -126,8 +126,8 @@ def entity_moments(spark, d):
 
 
 @query("hurst_dfa", Q.with_(ENT, f"""
-SELECT sid AS sample_id, {r('CASE WHEN h.mkt IS NULL THEN 0 ELSE coalesce(least(greatest(hu, 0), 1), 0.5) END')} AS hurst,
-  {r('CASE WHEN h.mkt IS NULL THEN 0 ELSE coalesce(least(greatest(al, 0), 1.5), 0.5) END')} AS dfa
+SELECT sid AS sample_id, {r('CASE WHEN h.mkt IS NULL THEN 0 WHEN hu IS NULL THEN 0.5 ELSE least(greatest(hu, 0), 1) END')} AS hurst,
+  {r('CASE WHEN h.mkt IS NULL THEN 0 WHEN al IS NULL THEN 0.5 ELSE least(greatest(al, 0), 1.5) END')} AS dfa
 FROM smp_region s LEFT JOIN (SELECT DISTINCT mkt, en FROM hs) h ON h.mkt = s.mkt AND h.en = s.en
 LEFT JOIN (SELECT mkt, en, regr_slope(ln(rs), ln(l)) AS hu FROM (
   SELECT mkt, en, l, avg((mx - mn) / sd) AS rs FROM (

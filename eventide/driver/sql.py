@@ -31,7 +31,7 @@ def fragment(name: str, sql: str) -> None:
 def with_(names: str, body: str) -> str:
     """``body`` prefixed with the named fragments, in the order given."""
     ctes = ",\n".join(f"{n} AS ({_FRAGMENTS[n]})" for n in names.split())
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {ctes}{body.lstrip()}" if body.lstrip().startswith(",") else f"WITH {ctes}\n{body}"
 
 
 fragment("bounds", """

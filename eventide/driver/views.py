@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
 from eventide.operators import calendar as cal
-from eventide.operators import asof, events, feature_encoding, scale_target
+from eventide.operators import asof, candidates, events, feature_encoding, scale_target, weights
 from eventide.session import materialize
 
 TRAIN_END = "1998-12-31"
@@ -212,3 +212,49 @@ def grid(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
     return staged(spark, sf_dir, f"grid_{level}", lambda: asof.filled_grid(
         prices(spark, sf_dir, level), cal.trading_days(calendar(spark, sf_dir)), "market_id",
         ["adjusted_close", "volume"]))
+
+
+def predictions(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
+    """A closed-form score of each sample with the columns models would give, staged."""
+    def build() -> DataFrame:
+        s = scaled_samples(spark, sf_dir, level)
+        mean = s.agg(F.avg("amount")).scalar()
+        signal = F.tanh(F.col("amount") / mean - 1.0)
+        return (s.withColumn("predicted_signal", signal)
+                .withColumn("probability_positive", F.lit(0.5) + F.col("predicted_signal") / 4.0)
+                .withColumn("predicted_signal_std",
+                            F.lit(0.1) + F.abs("predicted_signal") / 5.0)
+                .select("sample_id", "internal_company_id", "market_id", "sector", "segment",
+                        "entry_date", "exit_date", "split", "predicted_signal",
+                        "probability_positive", "predicted_signal_std", "ex_ante_scale",
+                        "target_normalized_signal", "raw_log_return", "spy_log_return", "amount"))
+    return staged(spark, sf_dir, f"predictions_{level}", build)
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cal.trading_days(calendar(spark, sf_dir))
+
+
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions active on each trading day with the day's risk estimate, staged."""
+    def build() -> DataFrame:
+        c, dd = calendar(spark, sf_dir), days(spark, sf_dir)
+        live = candidates.active_by_day(predictions(spark, sf_dir), c, dd)
+        vols = candidates.risk_vol_by_day(prices(spark, sf_dir, "nation"), c, dd, "market_id")
+        return candidates.with_risk(live, vols, "market_id")
+    return staged(spark, sf_dir, "active", build)
+
+
+RULES = candidates.PortfolioRules()
+
+
+def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's candidates by signal, staged."""
+    return staged(spark, sf_dir, "picks",
+                  lambda: candidates.select_candidates(active(spark, sf_dir), RULES))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal over volatility weights of every trading day, staged."""
+    return staged(spark, sf_dir, "targets", lambda: weights.inverse_vol_weights(
+        picks(spark, sf_dir), RULES))
