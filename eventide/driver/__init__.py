@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["event_queries", "feature_queries", "market_queries", "weight_queries"]
+MODULES = ["event_queries", "feature_queries", "market_queries", "weight_queries",
+           "portfolio_queries"]
 
 
 def load():

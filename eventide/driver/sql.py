@@ -73,11 +73,11 @@ for _level, _key in (("region", "n_regionkey"), ("nation", "n_nationkey")):
 SELECT 'COMP' || lpad(c_custkey::VARCHAR, 10, '0') AS ent, c_custkey, 'MKT' || {_key} AS mkt,
   n_regionkey::VARCHAR AS sector, c_mktsegment AS segment
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-    fragment(f"px_{_level}", f"""
-SELECT 'MKT' || {_key} AS mkt, l_shipdate::DATE AS date,
-  sum(l_extendedprice) / sum(l_quantity) AS px, sum(l_quantity) AS vol
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-GROUP BY 1, 2""")
+    _day = f"""SELECT 'MKT' || {_key} AS mkt, l_shipdate::DATE AS date, sum(l_extendedprice) AS p, sum(l_quantity) AS q
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"""
+    fragment(f"px_{_level}", f"SELECT mkt, date, p / q AS px, q AS vol FROM ({_day})" if _level == "region" else f"""
+SELECT mkt, date, sum(p) OVER w / sum(q) OVER w AS px, q AS vol FROM ({_day})
+WINDOW w AS (PARTITION BY mkt ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
     fragment(f"fil_{_level}", f"""
 SELECT o_orderkey::VARCHAR AS fid, ent, mkt, sector, segment, o_orderdate AS acc,
   o_orderdate::DATE AS ed, CASE WHEN o_orderpriority = '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form,

@@ -11,11 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.functions import rolling as R
 from eventide.functions import scalars as S
 from eventide.operators import calendar as cal
-from eventide.operators import asof, candidates, events, feature_encoding, scale_target, weights
+from eventide.operators import (accounting, asof, candidates, events, feature_encoding,
+                                scale_target, weights)
+from eventide.operators import benchmarks as bench
 from eventide.session import materialize
 
+SMOOTH_DAYS = 60
 TRAIN_END = "1998-12-31"
 VALIDATION_END = "1999-12-31"
 
@@ -112,9 +116,16 @@ def daily_prices(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     else:
         placed = placed.join(market_of(spark, sf_dir, level),
                              placed.s_nationkey == F.col("n_nationkey"))
-    return (placed.groupBy("market_id", "date")
-            .agg((F.sum("_p") / F.sum("_q")).alias("adjusted_close"),
-                 F.sum("_q").alias("volume")))
+    daily = placed.groupBy("market_id", "date").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    # Nation prices average the last 60 days traded, which gives returns of a
+    # realistic size; a single day's few lines would swing by half.
+    recent = R.series("market_id", "date").rowsBetween(-(SMOOTH_DAYS - 1), 0)
+    if level == "nation":
+        price = F.sum("_p").over(recent) / F.sum("_q").over(recent)
+    else:
+        price = F.col("_p") / F.col("_q")
+    return daily.select("market_id", "date", price.alias("adjusted_close"),
+                        F.col("_q").alias("volume"))
 
 
 def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,3 +269,61 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal over volatility weights of every trading day, staged."""
     return staged(spark, sf_dir, "targets", lambda: weights.inverse_vol_weights(
         picks(spark, sf_dir), RULES))
+
+
+def portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Daily returns, holdings and trades of the staged target weights, from one staged drift."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PORTFOLIOS:
+        _PORTFOLIOS[key] = accounting.account(
+            targets(spark, sf_dir), predictions(spark, sf_dir), grid(spark, sf_dir),
+            days(spark, sf_dir), key="market_id", stage=materialize)
+    return _PORTFOLIOS[key]
+
+
+_PORTFOLIOS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def entity_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return companies(spark, sf_dir, "nation")
+
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "grid_state",
+                  lambda: bench.grid_state(grid(spark, sf_dir), "market_id"))
+
+
+def active_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All active predictions of each day (sized or not) with return and inverse volatility."""
+    def build() -> DataFrame:
+        live = candidates.active_by_day(predictions(spark, sf_dir), calendar(spark, sf_dir),
+                                        days(spark, sf_dir))
+        return bench.active_state(live, state(spark, sf_dir), "market_id")
+    return staged(spark, sf_dir, "active_priced", build)
+
+
+def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(portfolio, date, ret, turnover) of the strategy and every benchmark, staged."""
+    def build() -> DataFrame:
+        s, a = state(spark, sf_dir), active_priced(spark, sf_dir)
+        names = prices(spark, sf_dir, "nation").agg(F.countDistinct("market_id")).scalar()
+        dd = days(spark, sf_dir).select("date")
+        daily = portfolio(spark, sf_dir)["daily"]
+        cost = (bench.active_cost(a, 10.0).join(days(spark, sf_dir), "seq").select("date", "cost"))
+        act = bench.active_returns(a).join(cost, "date", "left").withColumn(
+            "inverse_vol_active_10bps",
+            F.col("inverse_vol_active") - F.coalesce("cost", F.lit(0.0))).drop("cost")
+        wide = [bench.universe_returns(s, names), act, bench.random_returns(a),
+                bench.shuffled_returns(a)]
+        index = (bench.index_returns(benchmarks(spark, sf_dir)).join(dd, "date")
+                 .select(F.lower("symbol").alias("portfolio"), "date", "ret",
+                         F.lit(0.0).alias("turnover")))
+        rows = index.unionByName(daily.select(F.lit("strategy").alias("portfolio"), "date",
+                                              F.col("net_return").alias("ret"), "turnover"))
+        for w in wide:
+            columns = [c for c in w.columns if c != "date"]
+            filled = dd.join(w, "date", "left").na.fill(0.0, columns)
+            rows = rows.unionByName(filled.unpivot("date", columns, "portfolio", "ret")
+                                    .withColumn("turnover", F.lit(0.0)))
+        return rows
+    return staged(spark, sf_dir, "all_returns", build)

@@ -40,7 +40,7 @@ def capped(src: str, cap: str, part: str = "date", name: str = "ent") -> str:
     return f"""(SELECT * EXCLUDE (w, lvl), CASE WHEN lvl IS NULL THEN CASE WHEN w > 0 THEN {cap} ELSE 0 END
   ELSE least({cap}, w * lvl) END AS w FROM (
   SELECT * EXCLUDE (f, k), arg_min(f, k) FILTER (WHERE w * f <= {cap} + 1e-12) OVER (PARTITION BY {part}) AS lvl FROM (
-    SELECT *, (tot - k * {cap}) / nullif(tot - ahead, 0) AS f FROM (
+    SELECT *, CASE WHEN tot - ahead > 1e-15 THEN (tot - k * {cap}) / (tot - ahead) END AS f FROM (
       SELECT *, sum(w) OVER (PARTITION BY {part}) AS tot,
         row_number() OVER o - 1 AS k,
         coalesce(sum(w) OVER (PARTITION BY {part} ORDER BY w DESC, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
@@ -96,10 +96,6 @@ def capped_weights(spark, d):
     return out(W.inverse_vol_weights(V.picks(spark, d), rules))
 
 
-_SECTORS = f"""(SELECT date, sector, name, w FROM (SELECT date, sector, sector AS name, sum(w) AS w
-  FROM {capped(floored('s / vol', 'pick', 'sector'), '0.05')} GROUP BY 1, 2))"""
-
-
 @query("sector_capped_weights", Q.with_(PICK, f"""
 , base AS (SELECT * FROM {capped(floored('s / vol', 'pick', 'sector'), '0.05')}),
 tot AS (SELECT date, sum(w) AS t FROM base GROUP BY 1),
