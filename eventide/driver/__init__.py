@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["event_queries", "feature_queries", "market_queries", "weight_queries",
-           "portfolio_queries", "diagnostic_queries"]
+           "portfolio_queries", "diagnostic_queries", "ingest_queries",
+           "learning_queries"]
 
 
 def load():

@@ -15,8 +15,9 @@ from eventide.functions import rolling as R
 from eventide.functions import scalars as S
 from eventide.operators import calendar as cal
 from eventide.operators import (accounting, asof, candidates, events, feature_encoding,
-                                scale_target, weights)
+                                market_features, scale_target, weights)
 from eventide.operators import benchmarks as bench
+from eventide.plans import dataset, learning
 from eventide.session import materialize
 
 SMOOTH_DAYS = 60
@@ -327,3 +328,22 @@ def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     .withColumn("turnover", F.lit(0.0)))
         return rows
     return staged(spark, sf_dir, "all_returns", build)
+
+
+def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feature vectors of every sample, staged as plain columns and assembled on read."""
+    def build() -> DataFrame:
+        table, _ = dataset.feature_table(
+            scaled_samples(spark, sf_dir), cells(spark, sf_dir, coarse=True), [f"feature_{i:06d}" for i in range(6)],
+            prices=prices(spark, sf_dir), price_key="market_id",
+            panel=market_features.market_panel(grid(spark, sf_dir), "market_id"),
+            keep=MATRIX_KEYS, stage=lambda df: materialize(df, "trailing"))
+        return table
+
+    rows = staged(spark, sf_dir, "matrix", build)
+    columns = [c for c in rows.columns if c not in MATRIX_KEYS]
+    return learning.assemble(rows, columns).drop(*columns)
+
+
+MATRIX_KEYS = ["sample_id", "internal_company_id", "split", "entry_date", "exit_date",
+               "ex_ante_scale", "target_normalized_signal", "raw_log_return", "holding_days"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that must not appear in model column names.
-FORBIDDEN_WORDS = ["revenue", "income", "asset", "liabilit", "equity", "cash", "debt", "profit",
-                   "earning", "margin", "concept", "taxonomy", "us-gaap", "ticker", "company"]
+FORBIDDEN_WORDS = ["revenue", "income", "asset", "liability", "cash", "debt", "equity", "eps",
+                   "margin", "roe", "roa", "earnings"]
 
 
 class GateFailure(Exception):
