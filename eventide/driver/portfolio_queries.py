@@ -109,7 +109,7 @@ UNION ALL SELECT 'inverse_vol', date, coalesce(sum(iv * rt) / sum(iv), 0) FROM b
 UNION ALL SELECT 'dollar_volume', date, coalesce(sum(dv * rt) / sum(dv), 0) FROM bst GROUP BY 2
 UNION ALL SELECT 'equal_weight_active', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, avg(rt) AS x FROM bact GROUP BY 1) USING (date)
 UNION ALL SELECT 'inverse_vol_active', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM bact GROUP BY 1) USING (date)
-UNION ALL SELECT 'inverse_vol_active_10bps', date, coalesce(x - coalesce(c, 0), 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM bact GROUP BY 1) USING (date) LEFT JOIN bcost USING (seq)
+UNION ALL SELECT 'inverse_vol_active_10bps', date, coalesce(x, 0) - coalesce(c, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM bact GROUP BY 1) USING (date) LEFT JOIN bcost USING (seq)
 UNION ALL SELECT 'random_n', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM (
   SELECT * FROM bact QUALIFY row_number() OVER (PARTITION BY date ORDER BY sha1('42|' || date::VARCHAR || '|' || ent), ent) <= 50) GROUP BY 1) USING (date)
 UNION ALL SELECT 'shuffled_signal', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * s * rt) / sum(iv * s), 0) AS x FROM (

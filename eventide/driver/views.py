@@ -247,14 +247,17 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.trading_days(calendar(spark, sf_dir))
 
 
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions active on each trading day. Not staged: it is many times its input."""
+    return candidates.active_by_day(predictions(spark, sf_dir), calendar(spark, sf_dir),
+                                    days(spark, sf_dir))
+
+
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions active on each trading day with the day's risk estimate, staged."""
-    def build() -> DataFrame:
-        c, dd = calendar(spark, sf_dir), days(spark, sf_dir)
-        live = candidates.active_by_day(predictions(spark, sf_dir), c, dd)
-        vols = candidates.risk_vol_by_day(prices(spark, sf_dir, "nation"), c, dd, "market_id")
-        return candidates.with_risk(live, vols, "market_id")
-    return staged(spark, sf_dir, "active", build)
+    """``live`` with the day's risk estimate."""
+    vols = staged(spark, sf_dir, "risk_vol", lambda: candidates.risk_vol_by_day(
+        prices(spark, sf_dir, "nation"), calendar(spark, sf_dir), days(spark, sf_dir), "market_id"))
+    return candidates.with_risk(live(spark, sf_dir), vols, "market_id")
 
 
 RULES = candidates.PortfolioRules()
@@ -294,28 +297,24 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
                   lambda: bench.grid_state(grid(spark, sf_dir), "market_id"))
 
 
-def active_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All active predictions of each day (sized or not) with return and inverse volatility."""
-    def build() -> DataFrame:
-        live = candidates.active_by_day(predictions(spark, sf_dir), calendar(spark, sf_dir),
-                                        days(spark, sf_dir))
-        return bench.active_state(live, state(spark, sf_dir), "market_id")
-    return staged(spark, sf_dir, "active_priced", build)
-
-
 def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(portfolio, date, ret, turnover) of the strategy and every benchmark, staged."""
     def build() -> DataFrame:
-        s, a = state(spark, sf_dir), active_priced(spark, sf_dir)
+        s = state(spark, sf_dir)
         names = prices(spark, sf_dir, "nation").agg(F.countDistinct("market_id")).scalar()
         dd = days(spark, sf_dir).select("date")
         daily = portfolio(spark, sf_dir)["daily"]
-        cost = (bench.active_cost(a, 10.0).join(days(spark, sf_dir), "seq").select("date", "cost"))
-        act = bench.active_returns(a).join(cost, "date", "left").withColumn(
-            "inverse_vol_active_10bps",
-            F.col("inverse_vol_active") - F.coalesce("cost", F.lit(0.0))).drop("cost")
-        wide = [bench.universe_returns(s, names), act, bench.random_returns(a),
-                bench.shuffled_returns(a)]
+        counts = bench.active_counts(predictions(spark, sf_dir), calendar(spark, sf_dir),
+                                     days(spark, sf_dir), "market_id")
+        running = live(spark, sf_dir).select("as_of", "seq", "internal_company_id", "market_id",
+                                             "predicted_signal")
+        drawn = staged(spark, sf_dir, "random_names", lambda: bench.random_names(running))
+        strong = bench.strongest_signals(running)
+        wide = [bench.universe_returns(s, names),
+                bench.active_returns(counts, s, "market_id").withColumnRenamed(
+                    "inverse_vol_active_after_cost", "inverse_vol_active_10bps"),
+                bench.random_returns(drawn, s, "market_id"),
+                bench.shuffled_returns(strong, drawn, s, "market_id")]
         index = (bench.index_returns(benchmarks(spark, sf_dir)).join(dd, "date")
                  .select(F.lower("symbol").alias("portfolio"), "date", "ret",
                          F.lit(0.0).alias("turnover")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import rolling as R
-from eventide.operators.candidates import ENTITY
+from eventide.operators.candidates import ENTITY, day_numbers
 
 
 def index_returns(benchmarks: DataFrame) -> DataFrame:
@@ -46,37 +46,74 @@ def universe_returns(state: DataFrame, n_names: Column) -> DataFrame:
         _weighted(F.col("dollar_volume")).alias("dollar_volume"))
 
 
-def active_state(active: DataFrame, state: DataFrame, key: str = ENTITY) -> DataFrame:
-    """Active names of each day with their return and inverse volatility."""
-    return (active.select("seq", ENTITY, key, "predicted_signal") if key != ENTITY
-            else active.select("seq", ENTITY, "predicted_signal")).join(
-        state.select(key, "seq", "date", "ret", "inv_vol"), [key, "seq"])
+def active_counts(predictions: DataFrame, calendar: DataFrame, days: DataFrame,
+                  key: str = ENTITY) -> DataFrame:
+    """(key, seq, active, started, ended): how many names are active each day, and the changes.
 
-
-def active_returns(active: DataFrame) -> DataFrame:
-    """Per day: equal and inverse-volatility weighted returns of the active names."""
-    return active.groupBy("date").agg(F.avg("ret").alias("equal_weight_active"),
-                                      _weighted(F.col("inv_vol")).alias("inverse_vol_active"))
-
-
-def active_cost(active: DataFrame, bps: float) -> DataFrame:
-    """Daily cost of holding the inverse-volatility active portfolio: half the weight change x bps.
-
-    A weight is compared with the same name's weight the day before by shifting
-    the day number, so the work is one aggregation over (name, day).
+    A name's overlapping or adjoining predictions are merged first. Counts then
+    follow from running sums of starts and ends, so the cost is one row per
+    interval and one per key and day, not one per active name and day.
+    """
+    numbers = day_numbers(calendar, days)
+    span = calendar.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+    start = numbers.select(F.col("date").alias("_s"), F.col("after").alias("_a"))
+    stop = numbers.select(F.col("date").alias("_e"), F.col("before").alias("_b"))
+    columns = [ENTITY] if key == ENTITY else [ENTITY, key]
+    placed = (predictions.where(F.col("entry_date").isNotNull() & F.col("exit_date").isNotNull())
+              .select(*columns, F.greatest("entry_date", span["lo"]).alias("_s"),
+                      F.least("exit_date", span["hi"]).alias("_e"))
+              .join(F.broadcast(start), "_s").join(F.broadcast(stop), "_e")
+              .where(F.col("_a") <= F.col("_b")).select(*columns, "_a", "_b"))
+    w = R.series(ENTITY, ["_a", "_b"])
+    reach = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("_a") > reach + 1, F.lit(True))
+    islands = (placed.withColumn("_new", fresh.cast("int"))
+               .withColumn("_i", F.sum("_new").over(w))
+               .groupBy(*columns, "_i").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")))
+    change = F.explode(F.array(
+        F.struct(F.col("_a").alias("seq"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct((F.col("_b") + 1).alias("seq"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    steps = (islands.select(key, change.alias("c")).groupBy(key, "c.seq")
+             .agg(F.sum("c.up").alias("started"), F.sum("c.down").alias("ended")))
+    ahead = R.series(key, "seq").rowsBetween(Window.unboundedPreceding, 0)
+    held = (steps.withColumn("active", F.sum(F.col("started") - F.col("ended")).over(ahead))
+            .withColumn("_to", F.coalesce(F.lead("seq").over(R.series(key, "seq")) - 1,
+                                          days.agg(F.max("seq")).scalar())))
+    spread = held.where(F.col("_to") >= F.col("seq")).select(
+        key, F.col("seq").alias("_from"), "active", "started", "ended",
+        F.explode(F.sequence("seq", "_to")).alias("seq"))
+    today = F.col("seq") == F.col("_from")
+    return spread.select(key, "seq", "active", *[
+        F.when(today, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("started", "ended")])
+
+
+def active_returns(counts: DataFrame, state: DataFrame, key: str = ENTITY,
+                   cost_bps: float = 10.0) -> DataFrame:
+    """Per day: equal and inverse-volatility returns of the active names, and the latter after cost.
+
+    Names sharing a price series share weight and return, so each enters with
+    its count. The cost is half the absolute weight change: of names that stay,
+    enter and leave.
     """
-    totals = active.groupBy("seq").agg(F.sum("inv_vol").alias("_t"))
-    weights = (active.join(F.broadcast(totals), "seq")
-               .select(ENTITY, "seq", F.coalesce(F.col("inv_vol") / F.col("_t"), F.lit(0.0))
-                       .alias("w")))
-    last = weights.agg(F.max("seq")).scalar()
-    first = weights.agg(F.min("seq")).scalar()
-    moves = (weights.select(ENTITY, "seq", F.col("w").alias("d"))
-             .unionByName(weights.select(ENTITY, F.col("seq") + 1, F.col("w") * -1.0)
-                          .toDF(ENTITY, "seq", "d"))
-             .where((F.col("seq") <= last) & (F.col("seq") > first - 1))
-             .groupBy(ENTITY, "seq").agg(F.sum("d").alias("d")))
-    return moves.groupBy("seq").agg((F.sum(F.abs("d")) / 2.0 * (bps / 10000.0)).alias("cost"))
+    n, iv = F.col("active"), F.col("inv_vol")
+    rows = state.join(counts, [key, "seq"], "left").na.fill(0, ["active", "started", "ended"])
+    totals = rows.groupBy("seq").agg(F.sum(n * iv).alias("_t"))
+    w = R.series(key, "seq")
+    share = F.coalesce(F.try_divide(iv, F.col("_t")), F.lit(0.0))
+    moved = (rows.join(F.broadcast(totals), "seq").withColumn("_w", share)
+             .withColumn("_before", F.coalesce(F.lag("_w").over(w), F.lit(0.0))))
+    change = (F.abs(F.col("_w") - F.col("_before")) * (n - F.col("started"))
+              + F.col("_w") * F.col("started") + F.col("_before") * F.col("ended"))
+    per = moved.groupBy("seq", "date").agg(
+        F.coalesce(F.try_divide(F.sum(n * F.col("ret")), F.sum(n)), F.lit(0.0))
+        .alias("equal_weight_active"),
+        F.coalesce(F.try_divide(F.sum(n * iv * F.col("ret")), F.sum(n * iv)), F.lit(0.0))
+        .alias("inverse_vol_active"), (F.sum(change) / 2.0 * (cost_bps / 10000.0)).alias("_cost"))
+    # The first day of the grid has no day before it to trade from.
+    first = state.agg(F.min("seq")).scalar()
+    cost = F.when(F.col("seq") > first, F.col("_cost")).otherwise(F.lit(0.0))
+    return per.select("date", "equal_weight_active", "inverse_vol_active",
+                      (F.col("inverse_vol_active") - cost).alias("inverse_vol_active_after_cost"))
 
 
 def hash_order(seed: int, *parts: Column | str) -> Column:
@@ -85,27 +122,35 @@ def hash_order(seed: int, *parts: Column | str) -> Column:
         F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def random_returns(active: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
-    """Inverse-volatility return of n active names drawn at random each day."""
-    order = Window.partitionBy("date").orderBy(hash_order(seed, "date", ENTITY), ENTITY)
-    drawn = active.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
-    return drawn.groupBy("date").agg(_weighted(F.col("inv_vol")).alias("random_n"))
+def random_names(active: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
+    """n active names of each day in a reproducible random order, numbered ``_k`` from 1."""
+    order = Window.partitionBy("as_of").orderBy(hash_order(seed, "as_of", ENTITY), ENTITY)
+    return active.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+
+
+def strongest_signals(active: DataFrame, n: int = 50) -> DataFrame:
+    """The n largest positive signals of each day, numbered ``_k`` from 1."""
+    order = Window.partitionBy("as_of").orderBy(F.col("predicted_signal").desc(), ENTITY)
+    return (active.where(F.col("predicted_signal") > 0)
+            .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+            .select("as_of", "_k", F.col("predicted_signal").alias("_s")))
+
+
+def random_returns(names: DataFrame, state: DataFrame, key: str = ENTITY) -> DataFrame:
+    """Inverse-volatility return of each day's random names."""
+    priced = names.join(state.select(key, "seq", "date", "ret", "inv_vol"), [key, "seq"])
+    return priced.groupBy("date").agg(_weighted(F.col("inv_vol")).alias("random_n"))
 
 
-def shuffled_returns(active: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
-    """Return of the day's n largest positive signals handed to n random active names.
+def shuffled_returns(signals: DataFrame, names: DataFrame, state: DataFrame,
+                     key: str = ENTITY) -> DataFrame:
+    """Return of the day's strongest signals handed to its random names.
 
-    Equal in distribution to shuffling all signals and keeping the n best, but
-    only n signals and n names of a day ever meet. Weights are signal times
-    inverse volatility.
+    Equal in distribution to shuffling all signals over all names and keeping
+    the best, but only the few signals and names of a day ever meet. Weights
+    are signal times inverse volatility.
     """
-    by_signal = Window.partitionBy("date").orderBy(F.col("predicted_signal").desc(), ENTITY)
-    signals = (active.where(F.col("predicted_signal") > 0)
-               .withColumn("_k", F.row_number().over(by_signal)).where(F.col("_k") <= n)
-               .select("date", "_k", F.col("predicted_signal").alias("_s")))
-    by_hash = Window.partitionBy("date").orderBy(hash_order(seed, "date", ENTITY), ENTITY)
-    names = (active.where(F.col("predicted_signal").isNotNull())
-             .withColumn("_k", F.row_number().over(by_hash)).where(F.col("_k") <= n))
-    dealt = signals.join(names, ["date", "_k"])
-    return dealt.groupBy("date").agg(
+    dealt = signals.join(names, ["as_of", "_k"])
+    priced = dealt.join(state.select(key, "seq", "date", "ret", "inv_vol"), [key, "seq"])
+    return priced.groupBy("date").agg(
         _weighted(F.col("inv_vol") * F.col("_s")).alias("shuffled_signal"))

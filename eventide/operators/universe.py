@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import rolling as R
@@ -102,7 +102,6 @@ def company_holdout(df: DataFrame, entity: str, held_buckets: list[int],
     return df.withColumn("held_out", hash_bucket(entity, buckets).isin(held_buckets))
 
 
-def positional_slice(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
-    """Rows whose position in ``order`` (from 0) lies in [first, last)."""
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))
-    return ranked.where((F.col("_n") > first) & (F.col("_n") <= last)).drop("_n")
+def positional_slice(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows at positions first..last-1 of a stated order."""
+    return df.orderBy(*order).offset(first).limit(last - first)

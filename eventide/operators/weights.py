@@ -263,23 +263,26 @@ def blended_weights(active: DataFrame, rules: PortfolioRules, *, alpha: float =
     it: the day's total, count and its few largest weights decide the cap
     level, and come back by a join on the calendar-sized day table.
     """
-    counts = active.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n"))
-    sized = active.join(F.broadcast(counts), "as_of")
-    small = sized.where(F.col("_n") < min_names).drop("_n")
     from eventide.operators.candidates import select_candidates
-    fallback = inverse_vol_weights(select_candidates(small, rules), rules).select(*OUT)
     signal = F.coalesce("predicted_signal", F.lit(0.0))
     tilt = (F.lit(1.0) + (F.coalesce("probability_positive", F.lit(0.5)) - 0.5) * alpha
             if use_probability else F.lit(1.0) + F.tanh(signal * 2.0) * alpha)
     if require_positive:
         tilt = F.when(signal > 0, tilt).otherwise(0.0)
-    raw = sized.where(F.col("_n") >= min_names).withColumn(
-        "weight", F.greatest(tilt, F.lit(0.0)) / F.col("vol_estimate"))
-    total = raw.groupBy("as_of").agg(F.sum("weight").alias("_sum"))
-    share = raw.join(F.broadcast(total), "as_of").withColumn(
-        "weight", F.when(F.col("_sum") > 0, F.col("weight") / F.col("_sum"))
-        .otherwise(F.lit(1.0) / F.col("_n"))).drop("_sum")
-    out = _cap_unbounded(share, "as_of", rules.max_weight)
+    raw = active.withColumn("weight", F.greatest(tilt, F.lit(0.0)) / F.col("vol_estimate"))
+    levels = _top_levels(raw.withColumn("_id", F.col(ENTITY)), "weight",
+                         F.sum("weight") * rules.max_weight, _cap_count(rules.max_weight))
+    sized = raw.join(F.broadcast(levels), "as_of")
+    small = sized.where(F.col("_n") < min_names).drop("weight", "_n", "_total", "_level")
+    fallback = inverse_vol_weights(select_candidates(small, rules), rules).select(*OUT)
+    large = sized.where(F.col("_n") >= min_names)
+    share = F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(
+        F.lit(1.0) / F.col("_n"))
+    level = F.when(F.col("_total") > 0, F.col("_level")).otherwise(F.lit(1.0))
+    cap = F.lit(rules.max_weight)
+    held = F.when(level.isNull(), F.when(share > 0, cap).otherwise(0.0)).otherwise(
+        F.least(cap, share * level))
+    out = large.withColumn("weight", held).drop("_n", "_total", "_level")
     if rules.max_sector_weight is not None and rules.max_sector_weight < 1.0:
         out = _cap_unbounded(_cap_sectors_unbounded(out, rules.max_sector_weight), "as_of",
                              rules.max_weight)
@@ -292,16 +295,23 @@ def blended_weights(active: DataFrame, rules: PortfolioRules, *, alpha: float =
     return out.where(F.col("weight") > 0).select(*OUT).unionByName(fallback)
 
 
+def _cap_count(cap: float) -> int:
+    """More names than can ever be at the cap."""
+    return int(1.0 / cap) + 2
+
+
 def _top_levels(df: DataFrame, w: str, cap: Column, how_many: int) -> DataFrame:
-    """Fill factor per day from the day's total and its ``how_many`` largest weights.
+    """Per day: total, count and fill factor from the ``how_many`` largest weights.
 
+    ``cap`` is an aggregate over the day giving the cap in the units of ``w``.
     At most total / cap weights can reach the cap, so the largest ones decide
     the level exactly, however many rows the day has.
     """
     order = DAY.orderBy(F.col(w).desc(), "_id")
     top = (df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= how_many)
            .groupBy("as_of").agg(F.reverse(F.array_sort(F.collect_list(F.col(w)))).alias("_tops")))
-    totals = df.groupBy("as_of").agg(F.sum(w).alias("_total"), F.first(cap).alias("_cap"))
+    totals = df.groupBy("as_of").agg(F.sum(w).alias("_total"), cap.alias("_cap"),
+                                     F.count(F.lit(1)).alias("_n"))
     per = totals.join(top, "as_of")
 
     def step(s: Column, v: Column) -> Column:
@@ -313,13 +323,13 @@ def _top_levels(df: DataFrame, w: str, cap: Column, how_many: int) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("ahead"),
                      F.lit(None).cast("double").alias("f"))
-    return per.select("as_of", "_total", F.aggregate("_tops", start, step, lambda s: s["f"])
+    return per.select("as_of", "_total", "_n", F.aggregate("_tops", start, step, lambda s: s["f"])
                       .alias("_level"))
 
 
 def _cap_unbounded(df: DataFrame, day: str, cap: float) -> DataFrame:
     ids = df.withColumn("_id", F.col(ENTITY))
-    levels = _top_levels(ids, "weight", F.lit(cap), int(1.0 / cap) + 2).select(day, "_level")
+    levels = _top_levels(ids, "weight", F.max(F.lit(cap)), _cap_count(cap)).select(day, "_level")
     held = F.when(F.col("_level").isNull(), F.when(F.col("weight") > 0, F.lit(cap)).otherwise(0.0))
     return (df.join(F.broadcast(levels), day)
             .withColumn("weight", held.otherwise(F.least(F.lit(cap),
@@ -330,9 +340,8 @@ def _cap_unbounded(df: DataFrame, day: str, cap: float) -> DataFrame:
 def _cap_sectors_unbounded(df: DataFrame, cap: float) -> DataFrame:
     named = df.withColumn("sector", F.coalesce("sector", F.lit("UNK")))
     sums = (named.groupBy("as_of", "sector").agg(F.sum("weight").alias("_in")))
-    totals = sums.groupBy("as_of").agg(F.sum("_in").alias("_t"))
-    leads = sums.join(F.broadcast(totals), "as_of").withColumn("_id", F.col("sector"))
-    levels = _top_levels(leads, "_in", F.col("_t") * cap, int(1.0 / cap) + 2)
+    leads = sums.withColumn("_id", F.col("sector"))
+    levels = _top_levels(leads, "_in", F.sum("_in") * cap, _cap_count(cap)).drop("_n")
     limit = F.col("_total") * cap
     share = F.coalesce(F.least(limit, F.col("_in") * F.col("_level")), limit)
     factors = sums.join(levels, "as_of").select(
