@@ -308,7 +308,9 @@ def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      days(spark, sf_dir), "market_id")
         running = live(spark, sf_dir).select("as_of", "seq", "internal_company_id", "market_id",
                                              "predicted_signal")
-        drawn = staged(spark, sf_dir, "random_names", lambda: bench.random_names(running))
+        per_day = counts.groupBy("seq").agg(F.sum("active").alias("names"))
+        drawn = staged(spark, sf_dir, "random_names",
+                       lambda: bench.random_names(running, per_day, stage=materialize))
         strong = bench.strongest_signals(running)
         wide = [bench.universe_returns(s, names),
                 bench.active_returns(counts, s, "market_id").withColumnRenamed(

@@ -60,7 +60,7 @@ def drifted_weights(targets: DataFrame, rebalances: DataFrame, grid: DataFrame,
     price = grid.select(key, "seq", F.col("adjusted_close").alias("_now"))
     base = grid.select(key, F.col("seq").alias("start_seq"), F.col("adjusted_close").alias("_then"))
     grown = (spread.join(price, [key, "seq"], "left").join(base, [key, "start_seq"], "left")
-             .withColumn("_g", F.col("weight") * F.coalesce(F.col("_now") / F.col("_then"),
+             .withColumn("_g", F.col("weight") * F.coalesce(F.try_divide(F.col("_now"), F.col("_then")),
                                                             F.lit(1.0))))
     # One rebalance's names on one day: at most ``max_positions`` rows.
     group = Window.partitionBy("start_seq", "seq")

@@ -273,24 +273,28 @@ def blended_weights(active: DataFrame, rules: PortfolioRules, *, alpha: float =
     levels = _top_levels(raw.withColumn("_id", F.col(ENTITY)), "weight",
                          F.sum("weight") * rules.max_weight, _cap_count(rules.max_weight))
     sized = raw.join(F.broadcast(levels), "as_of")
-    small = sized.where(F.col("_n") < min_names).drop("weight", "_n", "_total", "_level")
+    helpers = ["_n", "_npos", "_total", "_level"]
+    small = sized.where(F.col("_n") < min_names).drop("weight", *helpers)
     fallback = inverse_vol_weights(select_candidates(small, rules), rules).select(*OUT)
-    large = sized.where(F.col("_n") >= min_names)
-    share = F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(
-        F.lit(1.0) / F.col("_n"))
-    level = F.when(F.col("_total") > 0, F.col("_level")).otherwise(F.lit(1.0))
+    flat = F.col("_total") <= 0
+    share = F.when(flat, F.lit(1.0) / F.col("_n")).otherwise(F.col("weight") / F.col("_total"))
+    level = F.when(flat, F.lit(1.0)).otherwise(F.col("_level"))
     cap = F.lit(rules.max_weight)
     held = F.when(level.isNull(), F.when(share > 0, cap).otherwise(0.0)).otherwise(
         F.least(cap, share * level))
-    out = large.withColumn("weight", held).drop("_n", "_total", "_level")
+    # What the cap leaves invested is known per day; no further pass over the names.
+    invested = (F.when(flat, F.least(F.lit(1.0), F.col("_n") * cap))
+                .when(F.col("_level").isNull(), F.col("_npos") * cap).otherwise(F.lit(1.0)))
+    out = (sized.where(F.col("_n") >= min_names).withColumn("weight", held)
+           .withColumn("_sum", invested).drop(*helpers))
     if rules.max_sector_weight is not None and rules.max_sector_weight < 1.0:
-        out = _cap_unbounded(_cap_sectors_unbounded(out, rules.max_sector_weight), "as_of",
-                             rules.max_weight)
-    invested = out.groupBy("as_of").agg(F.sum("weight").alias("_sum"))
+        out = _cap_unbounded(_cap_sectors_unbounded(out.drop("_sum"), rules.max_sector_weight),
+                             "as_of", rules.max_weight)
+        left = out.groupBy("as_of").agg(F.sum("weight").alias("_sum"))
+        out = out.join(F.broadcast(left), "as_of")
     lev = rules.leverage
     scale = F.when(F.col("_sum") > lev, F.lit(lev) / F.col("_sum")).otherwise(1.0)
-    out = (out.join(F.broadcast(invested), "as_of")
-           .withColumn("weight", F.col("weight") * scale)
+    out = (out.withColumn("weight", F.col("weight") * scale)
            .withColumn("cash_weight", F.greatest(F.lit(0.0), F.lit(lev) - F.col("_sum"))))
     return out.where(F.col("weight") > 0).select(*OUT).unionByName(fallback)
 
@@ -307,12 +311,16 @@ def _top_levels(df: DataFrame, w: str, cap: Column, how_many: int) -> DataFrame:
     At most total / cap weights can reach the cap, so the largest ones decide
     the level exactly, however many rows the day has.
     """
+    totals = df.groupBy("as_of").agg(
+        F.sum(w).alias("_total"), cap.alias("_cap"), F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col(w) > 0).alias("_npos"), F.max(w).alias("_max"))
+    # Days whose largest weight is within the cap need no list at all.
+    over = totals.where(F.col("_max") > F.col("_cap") + 1e-12).select("as_of")
     order = DAY.orderBy(F.col(w).desc(), "_id")
-    top = (df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= how_many)
+    top = (df.join(F.broadcast(over), "as_of", "left_semi")
+           .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= how_many)
            .groupBy("as_of").agg(F.reverse(F.array_sort(F.collect_list(F.col(w)))).alias("_tops")))
-    totals = df.groupBy("as_of").agg(F.sum(w).alias("_total"), cap.alias("_cap"),
-                                     F.count(F.lit(1)).alias("_n"))
-    per = totals.join(top, "as_of")
+    per = totals.join(top, "as_of", "left")
 
     def step(s: Column, v: Column) -> Column:
         rest = F.col("_total") - s["ahead"]
@@ -323,8 +331,9 @@ def _top_levels(df: DataFrame, w: str, cap: Column, how_many: int) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("ahead"),
                      F.lit(None).cast("double").alias("f"))
-    return per.select("as_of", "_total", "_n", F.aggregate("_tops", start, step, lambda s: s["f"])
-                      .alias("_level"))
+    level = F.when(F.col("_tops").isNull(), F.lit(1.0)).otherwise(
+        F.aggregate("_tops", start, step, lambda s: s["f"]))
+    return per.select("as_of", "_total", "_n", "_npos", level.alias("_level"))
 
 
 def _cap_unbounded(df: DataFrame, day: str, cap: float) -> DataFrame:
@@ -341,7 +350,7 @@ def _cap_sectors_unbounded(df: DataFrame, cap: float) -> DataFrame:
     named = df.withColumn("sector", F.coalesce("sector", F.lit("UNK")))
     sums = (named.groupBy("as_of", "sector").agg(F.sum("weight").alias("_in")))
     leads = sums.withColumn("_id", F.col("sector"))
-    levels = _top_levels(leads, "_in", F.sum("_in") * cap, _cap_count(cap)).drop("_n")
+    levels = _top_levels(leads, "_in", F.sum("_in") * cap, _cap_count(cap)).drop("_n", "_npos")
     limit = F.col("_total") * cap
     share = F.coalesce(F.least(limit, F.col("_in") * F.col("_level")), limit)
     factors = sums.join(levels, "as_of").select(
