@@ -148,3 +148,8 @@ def direction_label(signal: Column | str, band: float = 0.05) -> Column:
 def annualised_vol(scale: Column | str, holding_days: Column | str) -> Column:
     days = F.when(_c(holding_days) == 0, F.lit(60)).otherwise(_c(holding_days))
     return _c(scale) / F.greatest(F.lit(1.0), F.sqrt(days)) * F.sqrt(F.lit(252.0))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate correlation; null, not an error, when either side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -13,10 +13,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from eventide.operators.candidates import ENTITY
 
-TIME = Window.partitionBy(F.lit(0)).orderBy("seq")
+
+def in_time() -> WindowSpec:
+    return Window.partitionBy(F.lit(0)).orderBy("seq")
 
 
 def trigger_days(predictions: DataFrame, days: DataFrame) -> DataFrame:
@@ -33,14 +36,14 @@ def rebalance_days(predictions: DataFrame, targets: DataFrame, days: DataFrame)
     marked = (days.join(trig, "seq", "left").join(filled, "seq", "left")
               .withColumn("_trigger", F.coalesce("_trigger", F.lit(False)))
               .withColumn("_filled", F.coalesce("_filled", F.lit(False))))
-    segment = F.sum(F.col("_trigger").cast("int")).over(TIME)
+    segment = F.sum(F.col("_trigger").cast("int")).over(in_time())
     within = Window.partitionBy("_seg").orderBy("seq")
     earlier = F.sum(F.col("_filled").cast("int")).over(
         within.rowsBetween(Window.unboundedPreceding, -1))
     first_fill = F.col("_filled") & (F.coalesce(earlier, F.lit(0)) == 0)
     return (marked.withColumn("_seg", segment).withColumn("_first", first_fill)
             .where(F.col("_trigger") | F.col("_first"))
-            .select("date", "seq", F.lead("seq").over(TIME).alias("next_seq")))
+            .select("date", "seq", F.lead("seq").over(in_time()).alias("next_seq")))
 
 
 def drifted_weights(targets: DataFrame, rebalances: DataFrame, grid: DataFrame, days: DataFrame,
@@ -129,7 +132,7 @@ def daily_returns(drifted: DataFrame, trade_rows: DataFrame, rebalances: DataFra
                    F.coalesce("turnover", zero).alias("turnover")))
     out = out.withColumn("net_return", F.col("gross_return") - F.col("transaction_cost_return"))
     value = F.exp(F.sum(F.log1p("net_return")).over(
-        TIME.rowsBetween(Window.unboundedPreceding, 0))) * initial_value
+        in_time().rowsBetween(Window.unboundedPreceding, 0))) * initial_value
     return out.withColumn("portfolio_value", value)
 
 
@@ -151,7 +154,7 @@ def account(targets: DataFrame, predictions: DataFrame, grid: DataFrame, days: D
                    .where(F.col("seq") <= last))
         shifted = (moments.select((F.col("seq") + delay).alias("seq"))
                    .where(F.col("seq") <= last).join(days, "seq"))
-        moments = shifted.select("date", "seq", F.lead("seq").over(TIME).alias("next_seq"))
+        moments = shifted.select("date", "seq", F.lead("seq").over(in_time()).alias("next_seq"))
     moments = stage(moments)
     drift = stage(drifted_weights(targets, moments, grid, days, key, cash_return))
     moves = trades(targets, drift, moments, cost_bps)

@@ -108,7 +108,7 @@ def regression_metrics(df: DataFrame, by: list[str], truth: str, pred: str) -> D
     basic = pairs.groupBy(*by).agg(
         F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
         F.avg(_same_sign(pred, truth)).alias("direction_accuracy"),
-        F.when(spread, F.corr(pred, truth)).otherwise(0.0).alias("pearson"),
+        F.when(spread, S.correlation(pred, truth)).otherwise(0.0).alias("pearson"),
         (F.lit(1.0) - F.sum(err * err) / F.when(total > 0, total).otherwise(1e-12)).alias("r2"),
         F.count(F.lit(1)).alias("n"))
     rho = spearman(pairs, by, pred, truth).drop("n")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.scalars import correlation
+
 
 def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 32) -> DataFrame:
     """One row per (by, value): ``n`` rows equal, ``below`` rows less, ``total`` rows."""
@@ -101,7 +103,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "spearman"
     """Rank correlation per group, null with fewer than ``min_rows`` rows or no spread."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_rank(average_rank(pairs, by, x, "_rx", pct=False), by, y, "_ry", pct=False)
-    rho = F.corr("_rx", "_ry")
+    rho = correlation("_rx", "_ry")
     enough = ((F.count(F.lit(1)) >= min_rows) & (F.stddev_pop("_rx") > 0)
               & (F.stddev_pop("_ry") > 0))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),

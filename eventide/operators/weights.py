@@ -12,12 +12,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from eventide.functions import rolling as R
 from eventide.functions import scalars as S
 from eventide.operators.candidates import ENTITY, PortfolioRules
 
-DAY = Window.partitionBy("as_of")
+
+def day_window() -> WindowSpec:
+    return Window.partitionBy("as_of")
 OUT = ["as_of", ENTITY, "weight", "cash_weight"]
 
 
@@ -27,8 +30,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _normalised(w: Column) -> Column:
-    total = F.sum(w).over(DAY)
-    return F.when(total > 0, w / total).otherwise(F.lit(1.0) / F.count(F.lit(1)).over(DAY))
+    total = F.sum(w).over(day_window())
+    return F.when(total > 0, w / total).otherwise(F.lit(1.0) / F.count(F.lit(1)).over(day_window()))
 
 
 def _fill_level(df: DataFrame, w: str, cap: Column, out: str) -> DataFrame:
@@ -38,15 +41,15 @@ def _fill_level(df: DataFrame, w: str, cap: Column, out: str) -> DataFrame:
     f_k = (total - k * cap) / (total - their sum). The first k whose next weight
     stays within the cap gives f. Null when even all at the cap fall short.
     """
-    order = DAY.orderBy(F.col(w).desc(), ENTITY)
-    total = F.sum(w).over(DAY)
+    order = day_window().orderBy(F.col(w).desc(), ENTITY)
+    total = F.sum(w).over(day_window())
     ahead = F.coalesce(F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     k = F.row_number().over(order) - 1
     rest = total - ahead
     factor = F.when(rest > 1e-15, (total - k * cap) / rest)
     staged = df.withColumn("_k", k).withColumn("_f", factor)
     fits = F.col(w) * F.col("_f") <= cap + 1e-12
-    first = F.min(F.when(fits, F.struct("_k", "_f"))).over(DAY)
+    first = F.min(F.when(fits, F.struct("_k", "_f"))).over(day_window())
     return staged.withColumn(out, first["_f"]).drop("_k", "_f")
 
 
@@ -63,7 +66,7 @@ def cap_sectors(df: DataFrame, w: str, cap: float) -> DataFrame:
     sector = Window.partitionBy("as_of", "sector")
     lead = F.row_number().over(sector.orderBy(ENTITY)) == 1
     staged = (df.withColumn("sector", F.coalesce("sector", F.lit("UNK")))
-              .withColumn("_total", F.sum(w).over(DAY))
+              .withColumn("_total", F.sum(w).over(day_window()))
               .withColumn("_in", F.sum(w).over(sector))
               .withColumn("_lead", F.when(lead, F.col("_in")).otherwise(0.0)))
     limit = F.col("_total") * cap
@@ -81,7 +84,7 @@ def finish(df: DataFrame, raw: Column, rules: PortfolioRules, *,
     if drop_small:
         out = out.withColumn("weight", F.when(F.col("weight") < rules.min_weight, 0.0)
                              .otherwise(F.col("weight")))
-        total = F.sum("weight").over(DAY)
+        total = F.sum("weight").over(day_window())
         out = out.withColumn("weight", F.when(total > 0, F.col("weight") / total)
                              .otherwise(F.col("weight")))
     out = cap_names(out, "weight", rules.max_weight)
@@ -93,14 +96,14 @@ def finish(df: DataFrame, raw: Column, rules: PortfolioRules, *,
 
 
 def _levered(df: DataFrame, rules: PortfolioRules) -> DataFrame:
-    total = F.sum("weight").over(DAY)
+    total = F.sum("weight").over(day_window())
     lev = F.lit(rules.leverage)
     out = df.withColumn("weight", F.when(total > lev, F.col("weight") / total * lev)
                         .otherwise(F.col("weight")))
     if not rules.allow_cash:
         out = cap_names(out.withColumn("weight", F.when(total > 0, F.col("weight") / total * lev)
                                        .otherwise(F.col("weight"))), "weight", rules.max_weight)
-    return out.withColumn("cash_weight", F.greatest(F.lit(0.0), lev - F.sum("weight").over(DAY)))
+    return out.withColumn("cash_weight", F.greatest(F.lit(0.0), lev - F.sum("weight").over(day_window())))
 
 
 def inverse_vol_weights(candidates: DataFrame, rules: PortfolioRules) -> DataFrame:
@@ -121,7 +124,7 @@ def distribution_weights(candidates: DataFrame, rules: PortfolioRules, *, power:
 def barbell_weights(candidates: DataFrame, rules: PortfolioRules, *, safe: float = 0.8,
                     top_k: int = 5) -> DataFrame:
     """Equal weight on all names plus equal weight on the strongest few."""
-    n = F.count(F.lit(1)).over(DAY)
+    n = F.count(F.lit(1)).over(day_window())
     strong = F.when(F.col("signal_rank") <= top_k, F.lit(1.0 - safe) / F.least(n, F.lit(top_k)))
     return finish(candidates, F.lit(safe) / n + F.coalesce(strong, F.lit(0.0)), rules)
 
@@ -156,7 +159,7 @@ def tail_aware_weights(candidates: DataFrame, tail_risk: DataFrame, key: str,
     """Signal over expected shortfall; a day with any unknown shortfall uses inverse volatility."""
     known = candidates.join(tail_risk, [key, "seq"], "left")
     signal = F.pow("positive_signal", F.lit(rules.signal_power))
-    unknown = F.max(F.col("es").isNull()).over(DAY)
+    unknown = F.max(F.col("es").isNull()).over(day_window())
     raw = F.when(unknown, signal / F.col("vol_estimate")).otherwise(
         signal / F.greatest("es", F.lit(1e-9)))
     return finish(known, raw, rules)
@@ -190,7 +193,7 @@ def shrunk(df: DataFrame, signal: str, out: str, noise_var: float | None = None,
 def signal_entropy(df: DataFrame, signal: str = "positive_signal", low: float = 2.0,
                    high: float = 10.0) -> DataFrame:
     """Per day: entropy of the signal shares and the risk aversion it implies."""
-    share = F.col(signal) / F.nullif(F.sum(signal).over(DAY), F.lit(0.0))
+    share = F.col(signal) / F.nullif(F.sum(signal).over(day_window()), F.lit(0.0))
     term = F.when(share > 1e-12, -share * F.log(share)).otherwise(0.0)
     per = (df.withColumn("_t", term).groupBy("as_of")
            .agg(F.sum("_t").alias("entropy"), F.count(F.lit(1)).alias("n")))
@@ -220,7 +223,7 @@ def max_entropy_weights(candidates: DataFrame, rules: PortfolioRules, *, vol_ble
     array of signals.
     """
     vol = F.greatest("vol_estimate", F.lit(1e-9))
-    mid_vol = F.greatest(F.percentile(vol, F.lit(0.5)).over(DAY), F.lit(1e-9))
+    mid_vol = F.greatest(F.percentile(vol, F.lit(0.5)).over(day_window()), F.lit(1e-9))
     x = candidates.withColumn("_x", F.col("positive_signal")
                               - F.lit(vol_blend) * F.log(vol / mid_vol))
     per_day = x.groupBy("as_of").agg(F.collect_list("_x").alias("_xs"), F.max("_x").alias("_top"))
@@ -316,7 +319,7 @@ def _top_levels(df: DataFrame, w: str, cap: Column, how_many: int) -> DataFrame:
         F.count_if(F.col(w) > 0).alias("_npos"), F.max(w).alias("_max"))
     # Days whose largest weight is within the cap need no list at all.
     over = totals.where(F.col("_max") > F.col("_cap") + 1e-12).select("as_of")
-    order = DAY.orderBy(F.col(w).desc(), "_id")
+    order = day_window().orderBy(F.col(w).desc(), "_id")
     top = (df.join(F.broadcast(over), "as_of", "left_semi")
            .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= how_many)
            .groupBy("as_of").agg(F.reverse(F.array_sort(F.collect_list(F.col(w)))).alias("_tops")))
@@ -368,7 +371,7 @@ def limit_turnover(targets: DataFrame, previous: DataFrame, max_turnover: float)
             .unionByName(previous.select("as_of", ENTITY, F.lit(0.0).alias("_new"),
                                          F.col("weight").alias("_old")))
             .groupBy("as_of", ENTITY).agg(F.sum("_new").alias("_new"), F.sum("_old").alias("_old")))
-    traded = F.sum(F.abs(F.col("_new") - F.col("_old"))).over(DAY) / 2.0
+    traded = F.sum(F.abs(F.col("_new") - F.col("_old"))).over(day_window()) / 2.0
     ratio = F.least(F.lit(1.0), F.lit(max_turnover) / F.nullif(traded, F.lit(0.0)))
     return both.select("as_of", ENTITY, (F.col("_old") + (F.col("_new") - F.col("_old"))
                                          * F.coalesce(ratio, F.lit(1.0))).alias("weight"))
