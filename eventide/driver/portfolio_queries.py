@@ -18,6 +18,7 @@ from eventide.operators import market_features as mf
 from eventide.operators import overlays as O
 from eventide.operators import performance as P
 from eventide.operators import weights as W
+from eventide.session import materialize
 
 Q.fragment("tgt", "SELECT t.*, s.seq, p.mkt, greatest(0, 1 - sum(t.w) OVER (PARTITION BY t.date)) AS cash FROM target t JOIN tds s USING (date) JOIN pick p USING (date, ent)")
 Q.fragment("marks", """
@@ -303,7 +304,8 @@ def construction_variants(spark, d):
     for name, (rules, delay) in variants.items():
         picked = select_candidates(V.active(spark, d), rules)
         daily = A.account(W.inverse_vol_weights(picked, rules), V.predictions(spark, d),
-                          V.grid(spark, d), V.days(spark, d), key="market_id", delay=delay)["daily"]
+                          V.grid(spark, d), V.days(spark, d), key="market_id", delay=delay,
+                          stage=materialize)["daily"]
         part = daily.select(F.lit(name).alias("variant"), "date", F.col("net_return").alias("ret"))
         rows = part if rows is None else rows.unionByName(part)
     s = P.performance_summary(rows, ["variant"])
