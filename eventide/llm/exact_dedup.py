@@ -56,7 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored. An empty table gives no rows.
     """
     rows = materialize(digests(docs, id_col, text_col), "digests")
-    winners = materialize(frequent(rows, support), "frequent-digests")
+    winners = materialize(frequent(rows, support).coalesce(1), "frequent-digests")  # at most 1 / support rows
     tagged = rows.join(F.broadcast(winners), "digest", "left")
     heavy = tagged.where("group_size IS NOT NULL")
     light = tagged.where("group_size IS NULL").select("doc_id", "length", "digest")
