@@ -42,8 +42,8 @@ class Training:
     """``sample`` bounds the labelled rows that are fitted on (about; chosen by a hash of the id)."""
 
     sample: int = 20_000
-    least_z: float = 4.0  # standard errors by which a feature's frequency must differ
-    ridge: float = 2.0
+    least_z: float = 3.0  # standard errors by which a feature's frequency must differ
+    ridge: float = 1.0
     fairness: float = 20.0  # weight of the squared score change of a swap
     rounds: int = 400
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS

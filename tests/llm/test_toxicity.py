@@ -61,11 +61,11 @@ def test_edge_rows(spark):
 
 
 def test_query_on_held_out_rows(spark):
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"  # enough labelled rows to learn from
     got = queries.op8_toxicity(spark, sf_dir).toPandas()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
     both = got.merge(labels, on="doc_id")
     held = both[both.held_out]
     assert ((held.predicted == held.toxic).mean()) > 0.93
-    assert pytest.approx(1, abs=0.35) == held.predicted.sum() / held.toxic.sum()
+    assert held[held.toxic == 1].predicted.mean() > 0.8 and held[held.predicted == 1].toxic.mean() > 0.9
