@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import exact_dedup, language_id, mixing, near_dedup, secret_scan, toxicity
+from eventide.llm import embedding_dedup, exact_dedup, language_id, mixing, near_dedup, secret_scan, toxicity
 from eventide.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
