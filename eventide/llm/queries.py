@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import embedding_dedup, exact_dedup, language_id, mixing, near_dedup, secret_scan, toxicity
+from eventide.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
 from eventide.llm.common import table
 
 
@@ -22,6 +32,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenised(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -42,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
