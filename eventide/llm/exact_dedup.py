@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import SPACES
@@ -12,12 +12,21 @@ from eventide.session import materialize
 SUPPORT = 1e-3
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), SPACES, "").cast("binary"), 256)
+
+
+def with_digest(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """All columns, and the SHA-256 of the text without white space as ``name``."""
+    return docs.withColumn(name, _digest(F.col(text_col)))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, code points and SHA-256 of the text without white space; a null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("length"),
-        F.sha2(F.translate(text, SPACES, "").cast("binary"), 256).alias("digest"))
+        _digest(F.col(text_col)).alias("digest"))
 
 
 def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
