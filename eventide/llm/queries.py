@@ -10,6 +10,7 @@ from eventide.llm import (
     bpe,
     embedding_dedup,
     exact_dedup,
+    katz,
     language_id,
     mixing,
     near_dedup,
@@ -40,6 +41,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenised(table(spark, sf_dir, "documents"))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_katz_scores": op6_katz_scores,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,

@@ -3,7 +3,9 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -37,8 +39,19 @@ def test_pieces_against_the_pattern():
         assert counts == [len(pattern.findall(t)) for t in texts]
 
 
-def test_against_the_library(spark, tokeniser, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 200)  # several blocks
+def test_blocks_hold_all_documents(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 20)
+    monkeypatch.setattr(bpe, "CHUNK", 10)
+    texts = ["some words here", None, "x " * 50, "", "last one"] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(15)), "text": texts})
+    blocks = [b.to_pylist()[0] for b in bpe._blocks(iter([batch, batch]))]
+    assert len(blocks) > 2
+    assert [i for b in blocks for i in b["doc_ids"]] == list(range(15)) * 2
+    words = [b["words"][p] for b in blocks for p in np.frombuffer(b["places"], np.int32)]
+    assert "".join(words) == "".join(t or "" for t in texts) * 2
+
+
+def test_against_the_library(spark, tokeniser):
     rng = random.Random(1)
     signs = "abcdefgh  '\n.,éß漢字🙂0123"
     rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 90)))) for i in range(60)]
