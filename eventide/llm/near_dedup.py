@@ -4,8 +4,9 @@ Signatures are cut into bands; documents that share a band are candidates. A
 candidate's signature is compared batch by batch and dropped as soon as the
 posterior probability of reaching the similarity is below the miss probability.
 Survivors are verified on their full shingle sets. Candidates inside a band are
-first compared with one centre, then only across components that are still apart,
-so a group of copies costs about one comparison each and no link is lost.
+first compared with one centre, so a group of copies costs about one comparison
+each. Bands whose documents are still in different components are then compared
+in full, but only across components; both steps keep every link that matters.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ HASHES = 80  # minimum hashes of a signature
 BAND = 4  # hashes of a band: a pair at 0.85 misses all twenty with probability 4e-7
 STEP = 16  # hashes compared at once
 MISS = 1e-6  # posterior below which a candidate is dropped
-PART = 1024  # larger bands are compared in pairs of parts of about this size
-SMALL = 10_000  # ids that may be broadcast; more are joined by a shuffle
+PART = 512  # larger bands are compared in pairs of parts of about this size
 CHUNK = 1 << 20  # bytes of text hashed at once in a task
 
 
@@ -144,26 +144,46 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of one band whose documents are in different components."""
+    """Links of one band that join documents of different components.
+
+    Signatures are compared first and survivors verified on the full sets; documents
+    that a link has joined are not compared again, so at most one link a document
+    comes out.
+    """
     least = least_matches()
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for run in key_runs(batches, ["key", "i", "j"]):
-        sigs = _sig_table(run.column("sig"))
-        node, label, part, n = (run.column(c).to_numpy() for c in ("node", "label", "part", "n_shingles"))
+        label, n = run.column("label").to_numpy(), run.column("n_shingles").to_numpy()
+        if (label == label[0]).all():
+            continue
+        node, part = run.column("node").to_numpy(), run.column("part").to_numpy()
         i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
-        found: list[tuple[int, int]] = []
+        sigs = _sig_table(run.column("sig"))
+        _, at = np.unique(np.frombuffer(b"".join(run.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+        edges = np.append(0, np.cumsum(n))
+        group = np.unique(label, return_inverse=True)[1]
         for x in range(len(node)):
             if i != j and part[x] != i:
                 continue
             others = np.arange(x + 1, len(node)) if i == j else np.flatnonzero(part == j)
-            near = (100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x]))
-            others = others[near & (label[others] != label[x])]
-            if len(others):
-                live = bayes_survivors(sigs[x:x + 1], sigs[others], least)
-                found += [(min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) for y in others[live]]
-        if found:
-            a, b = zip(*set(found), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            near = 100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])
+            others = others[near & (group[others] != group[x])]
+            if not len(others):
+                continue
+            others = others[bayes_survivors(sigs[x:x + 1], sigs[others], least)]
+            if not len(others):
+                continue
+            own = np.zeros(at.max() + 1, bool)
+            own[at[edges[x]:edges[x + 1]]] = True
+            both = np.array([own[at[edges[y]:edges[y + 1]]].sum() for y in others])
+            joined = []
+            for y in others[100 * both >= PERCENT * (n[x] + n[others] - both)]:
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
+                    joined.append(y)
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.array([node[x]] * len(joined), pa.int64()),
+                                                  pa.array(node[joined], pa.int64())], schema=schema)
 
 
 def _fetch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +211,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def fetch(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Shingle sets (node, shingles) of the asked nodes, from the texts that stand for them."""
+    reps = asked.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
+    return docs.join(reps, "doc_id").select("node", "text").mapInArrow(_fetch_sets, "node long, shingles binary")
+
+
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
-    asked = (pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-             .join(nodes.select("node", F.col("rep").alias("doc_id")), "node"))
-    if pairs.limit(SMALL // 2 + 1).count() <= SMALL // 2:  # two ids a pair at most
-        asked = F.broadcast(asked)
-    sets = docs.join(asked, "doc_id").select("node", "text").mapInArrow(_fetch_sets, "node long, shingles binary")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = fetch(docs, nodes, asked)
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
@@ -235,18 +258,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = (shared.where("size > 2").join(labels, "node", "left")
               .withColumn("label", F.coalesce("label", "node")))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    apart = (placed.where("node <> centre").join(mixed.select("key"), "key").join(sized, "node")
+    left = materialize(placed.where("node <> centre").join(mixed.select("key"), "key"), "mixed-bands")
+    apart = (left.join(sized, "node").join(fetch(docs, nodes, left.select("node").distinct()), "node")
              .withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
              .withColumn("part", F.pmod(F.hash("node"), "parts"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")))
-    late = materialize(
-        apart.select("key", "i", "j", "node", "label", "part", "n_shingles", "sig").repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct(), "late-pairs")
-    if not late.isEmpty():
-        more = materialize(verify(docs, nodes, late), "late-links")
-        if not more.isEmpty():
-            labels = components(links.union(more), "near")
+    more = materialize(
+        apart.select("key", "i", "j", "node", "label", "part", "n_shingles", "sig", "shingles").repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct(), "late-links")
+    if not more.isEmpty():
+        labels = components(links.union(more), "near")
 
     named = sketch.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("label"))
