@@ -9,6 +9,7 @@ from eventide.driver import views as V
 from eventide.driver.registry import big, day, num, query
 from eventide.driver.sql import r
 from eventide.functions import scalars as S
+from eventide.operators import events
 from eventide.session import scratch_path
 from eventide.sources import documents as docs
 from eventide.sources import tables
@@ -72,6 +73,38 @@ def parsed_events(spark, d):
                     day("filed_date").alias("filed_date"), "is_amendment")
 
 
+_SPREAD = "o_orderdate + to_hours((o_orderkey * 7 % 24)::INTEGER)"
+_SPREAD_EVENTS = f"""
+SELECT 'FILING_' || substr(sha1(lpad(o_custkey::VARCHAR, 10, '0') || '|' || o_orderkey), 1, 16) AS fid, ent, mkt, sector, segment,
+  CASE WHEN o_orderkey % 2 = 0 THEN {_SPREAD} ELSE (({_SPREAD}) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' END AS acc,
+  CASE WHEN o_orderkey % 2 = 0 THEN (({_SPREAD}) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' ELSE {_SPREAD} END::DATE AS ed,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form, o_totalprice AS amount
+FROM orders JOIN co_region ON o_custkey = c_custkey"""
+
+
+@query("samples_from_documents", Q.with_(Q.samples(), f"""
+SELECT sid AS sample_id, ed::VARCHAR AS event_day, en::VARCHAR AS entry_date, ex::VARCHAR AS exit_date,
+  {r('ret')} AS raw_log_return FROM smp_region""").replace(Q._FRAGMENTS["fil_region"], _SPREAD_EVENTS))
+def samples_from_documents(spark, d):
+    """Parsed events straight into the sample builder; times spread over the day, every second one without a zone."""
+    o = V.table(spark, d, "orders")
+    wall = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") * 7 % 24).cast("int"))
+    text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, "Z").otherwise(""))
+    form = F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("10-Q")
+    e = F.struct(F.col("o_orderkey").cast("string").alias("a"), form.alias("form"),
+                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), text.alias("t"))
+    pages = (o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / BLOCK).alias("page")).agg(F.collect_list(e).alias("e")))
+    each = {"accessionNumber": "a", "form": "form", "filingDate": "d", "reportDate": "d",
+            "acceptanceDateTime": "t", "primaryDocument": "a", "isXBRL": "a", "isInlineXBRL": "a"}
+    recent = F.struct(*[F.col(f"e.{v}").alias(k) for k, v in each.items()])
+    raw = pages.select(F.to_json(F.struct(F.col("o_custkey").alias("cik"), F.struct(recent.alias("recent")).alias("filings"))).alias("raw"))
+    parsed = docs.event_list(raw).join(V.companies(spark, d), "internal_company_id")
+    samples = events.build_event_samples(parsed, V.prices(spark, d), V.calendar(spark, d), train_end=V.TRAIN_END,
+                                         validation_end=V.VALIDATION_END, price_key="market_id")[0]
+    return samples.select("sample_id", day("report_event_date").alias("event_day"), day("entry_date").alias("entry_date"),
+                          day("exit_date").alias("exit_date"), num("raw_log_return").alias("raw_log_return"))
+
+
 @query("sector_table", """
 SELECT DISTINCT lpad(o_custkey::VARCHAR, 10, '0') AS cik, (o_custkey % 9000 + 100)::VARCHAR AS sic,
   substr(lpad((o_custkey % 9000 + 100)::VARCHAR, 4, '0'), 1, 1) AS sic_division FROM orders""")
@@ -140,13 +173,17 @@ def identifiers(spark, d):
 SELECT mkt AS ticker_at_date, date::VARCHAR AS date, {r('px')} AS adjusted_close, {r('vol')} AS volume
 FROM px_nation WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'"""))
 def csv_prices(spark, d):
-    """Prices written as CSV per ticker and read back with a date window."""
+    """Prices written as CSV per ticker, in two column orders, and read back with a date window."""
     path = scratch_path(spark, "csv")
     p = V.prices(spark, d, "nation")
     close = F.col("adjusted_close")
-    p.select(F.lower("market_id").alias("ticker"), "date", close.alias("open"), close.alias("high"),
-             close.alias("low"), close.alias("close"), "adjusted_close", "volume").write.partitionBy(
-        "ticker").option("header", True).csv(path)
+    columns = {"date": F.col("date"), "open": close, "high": close, "low": close, "close": close,
+               "adjusted_close": close, "volume": F.col("volume")}
+    layouts = (list(columns), ["volume", "adjusted_close", *[c for c in columns if c not in ("volume", "adjusted_close")]])
+    for k, names in enumerate(layouts):
+        (p.where(F.pmod(F.crc32(F.col("market_id").cast("binary")), F.lit(2)) == k)
+         .select(F.lower("market_id").alias("ticker"), *[columns[c].alias(c) for c in names])
+         .write.mode("append").partitionBy("ticker").option("header", True).csv(path))
     out = tables.read_prices_csv(spark, path, "1997-01-01", "1999-12-31", ticker_column="ticker")
     return out.select("ticker_at_date", day("date").alias("date"),
                       num("adjusted_close").alias("adjusted_close"), num("volume").alias("volume"))

@@ -17,8 +17,9 @@ from eventide.operators import calendar as cal
 from eventide.operators import (accounting, asof, candidates, events, feature_encoding,
                                 market_features, scale_target, weights)
 from eventide.operators import benchmarks as bench
-from eventide.plans import dataset, learning
-from eventide.session import materialize
+from eventide.plans import dataset
+from eventide.session import materialize, scratch_path
+from eventide.sources import tables
 
 SMOOTH_DAYS = 60
 TRAIN_END = "1998-12-31"
@@ -33,6 +34,12 @@ def _day(column: str) -> Column:
     return F.col(column).cast("timestamp").cast("date")
 
 
+def eastern_wall(column: str) -> Column:
+    """The instant at which New York clocks show the column's date and time."""
+    return F.convert_timezone(F.lit("America/New_York"), F.current_timezone(),
+                              F.col(column).cast("timestamp_ntz")).cast("timestamp")
+
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -78,7 +85,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.entity_id("o_custkey").alias("internal_company_id"),
         S.normalize_entity_key("o_custkey").alias("cik"),
         F.col("o_custkey").alias("custkey"),
-        F.col("o_orderdate").cast("timestamp").alias("accepted_datetime"),
+        eastern_wall("o_orderdate").alias("accepted_datetime"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("10-Q")
         .alias("form_type"),
         F.last_day(F.add_months(_day("o_orderdate"), -1)).alias("report_period_end_date"),
@@ -331,20 +338,47 @@ def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "all_returns", build)
 
 
-def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled feature vectors of every sample, staged as plain columns and assembled on read."""
-    def build() -> DataFrame:
-        table, _ = dataset.feature_table(
-            scaled_samples(spark, sf_dir), cells(spark, sf_dir, coarse=True), [f"feature_{i:06d}" for i in range(6)],
-            prices=prices(spark, sf_dir), price_key="market_id",
-            panel=market_features.market_panel(grid(spark, sf_dir), "market_id"),
-            keep=MATRIX_KEYS, stage=lambda df: materialize(df, "trailing"))
-        return table
+HELD_BUCKETS = [7, 8, 9]
+
+
+def held_entities(transfer: bool) -> Column:
+    """Entities kept out of every statistic in the transfer setting."""
+    return S.hash_bucket("internal_company_id", 10).isin(HELD_BUCKETS) if transfer else F.lit(False)
 
-    rows = staged(spark, sf_dir, "matrix", build)
-    columns = [c for c in rows.columns if c not in MATRIX_KEYS]
-    return learning.assemble(rows, columns).drop(*columns)
+
+def encoder(spark: SparkSession, sf_dir: str, transfer: bool = False) -> dict[str, DataFrame]:
+    """The encoder fitted on the training rows (of the entities not held out), saved and loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir, transfer)
+    if key not in _ENCODERS:
+        train = train_samples(spark, sf_dir).where(~held_entities(transfer))
+        own = facts(spark, sf_dir).where(~held_entities(transfer))
+        path = scratch_path(spark, "encoder")
+        tables.save_encoder(feature_encoding.fit_encoder(train, own, min_companies=MIN_COMPANIES), path)
+        _ENCODERS[key] = path
+    return tables.load_encoder(spark, _ENCODERS[key])
+
+
+_ENCODERS: dict[tuple[str, str, bool], str] = {}
+
+
+def model_matrix(spark: SparkSession, sf_dir: str, transfer: bool = False) -> DataFrame:
+    """Labelled sparse vectors of every sample over all ids, periods and blocks, staged."""
+    key = (spark.sparkContext.applicationId, sf_dir, transfer)
+    if key not in _MATRICES:
+        fit_on = (F.col("split") == "train") & ~held_entities(transfer)
+        samples = scaled_samples(spark, sf_dir)
+        trailing = dataset.trailing_features(
+            samples, prices(spark, sf_dir), "market_id", fit_on,
+            panel=market_features.market_panel(grid(spark, sf_dir), "market_id"),
+            stage=lambda df: materialize(df, "trailing"))
+        rows = dataset.encoded_matrix(samples, facts(spark, sf_dir), encoder(spark, sf_dir, transfer), trailing, fit_on,
+                                      MATRIX_KEYS, stage=lambda df: materialize(df, "matrix-cells"))
+        path = scratch_path(spark, "matrix")
+        rows.write.parquet(path)
+        _MATRICES[key] = path
+    return feature_encoding.read_vectors(spark, _MATRICES[key])
 
 
+_MATRICES: dict[tuple[str, str, bool], str] = {}
 MATRIX_KEYS = ["sample_id", "internal_company_id", "split", "entry_date", "exit_date",
                "ex_ante_scale", "target_normalized_signal", "raw_log_return", "holding_days"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Output formats and constants that results must agree on.
@@ -70,6 +70,28 @@ def eastern_date(value: Column | str) -> Column:
     return F.coalesce(F.when(zoned, local), head)
 
 
+def eastern_instant(value: Column | str) -> Column:
+    """Instant of an ISO-like text; without a zone suffix the text is New York time."""
+    s = _c(value)
+    zoned = s.rlike(r"[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
+    wall = F.convert_timezone(F.lit("America/New_York"), F.current_timezone(), s.try_cast("timestamp_ntz"))
+    return F.when(zoned, s.try_cast("timestamp")).otherwise(wall.cast("timestamp"))
+
+
+def event_day(df: DataFrame, name: str = "accepted_datetime") -> Column:
+    """Eastern calendar day of an event's time column, whatever its type and the session's zone.
+
+    A timestamp is an instant; text without a zone and a date are Eastern already.
+    """
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        return eastern_date(name)
+    if kind in ("date", "timestamp_ntz"):
+        return F.to_date(name)
+    wall = F.col(name).cast("timestamp_ntz")
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("America/New_York"), wall))
+
+
 def to_double(x: Column | str) -> Column:
     """Number or null; text that is not a number never fails the job."""
     return _c(x).try_cast("double")

@@ -28,7 +28,7 @@ def dedupe_same_day(filings: DataFrame) -> DataFrame:
     An aggregate rather than a ranking window: duplicates of a hot entity and
     day are reduced before the shuffle. The smallest event id breaks ties.
     """
-    dated = filings.withColumn("event_date", F.to_date("accepted_datetime"))
+    dated = filings.withColumn("event_date", S.event_day(filings))
     rest = [c for c in dated.columns if c not in (ENTITY, "event_date", "filing_event_id")]
     order = F.struct(F.when(F.col("form_type") == ANNUAL_FORM, 0).otherwise(1).alias("a"),
                      (-F.unix_micros("accepted_datetime")).alias("b"),

@@ -28,7 +28,7 @@ PERIODS_BACK = 8
 
 def visible_facts(facts: DataFrame, train_samples: DataFrame) -> DataFrame:
     """Facts accepted no later than the last training sample."""
-    last = train_samples.agg(F.max(F.to_date("accepted_datetime"))).scalar()
+    last = train_samples.agg(F.max(S.event_day(train_samples))).scalar()
     return facts.where(F.col("accepted_date") <= last)
 
 
@@ -113,7 +113,7 @@ def sample_periods(samples: DataFrame, versions: DataFrame,
                .withColumn("valid_to", F.when(F.count("valid_from").over(newer) == periods_back,
                                               F.max("valid_from").over(newer))))
     asked = samples.select("sample_id", ENTITY, "entry_date",
-                           F.to_date("accepted_datetime").alias("_day"))
+                           S.event_day(samples).alias("_day"))
     order = Window.partitionBy("sample_id").orderBy(F.col("period_end_date").desc())
     return (asked.join(periods, ENTITY).where(_current(F.col("_day")))
             .withColumn("period_offset", F.row_number().over(order) - 1)
@@ -203,7 +203,11 @@ def encode(samples: DataFrame, facts: DataFrame, encoder: dict[str, DataFrame],
            periods_back: int = PERIODS_BACK) -> DataFrame:
     """Scaled cells of ``samples`` under a fitted encoder; nothing is refitted."""
     versions = fact_versions(map_facts(facts, encoder["feature_map"]))
-    cells = fact_cells(samples, versions, periods_back)
+    return scaled_with_derived(fact_cells(samples, versions, periods_back), encoder)
+
+
+def scaled_with_derived(cells: DataFrame, encoder: dict[str, DataFrame]) -> DataFrame:
+    """Raw cells scaled by a fitted encoder, with the derived cells if it has a scaler for them."""
     columns = ["sample_id", "period_offset", "anonymous_feature_id", "value"]
     scaled = scale_cells(cells, encoder["scaler"]).select(*columns)
     if "derived_scaler" in encoder:
@@ -216,7 +220,7 @@ def dense_frame(samples: DataFrame, cells: DataFrame, metadata: DataFrame,
                 feature_ids: list[str], periods_back: int = PERIODS_BACK) -> DataFrame:
     """One row per sample: ``<id>_o<p>_value``, ``<id>_o<p>_missing`` and period metadata.
 
-    For a few hundred columns; wider sets belong in ``sparse_vectors``.
+    For a few hundred columns; wider sets belong in ``model_cells`` and ``cell_arrays``.
     """
     values, flags = [], []
     for fid in feature_ids:
@@ -244,27 +248,64 @@ def c_name(feature_id: str, offset: int) -> str:
     return f"{feature_id}_o{offset}"
 
 
-def cell_arrays(cells: DataFrame, index: DataFrame, periods_back: int = PERIODS_BACK) -> DataFrame:
-    """(sample_id, indices, values): sorted sparse cells, position = feature index * P + offset."""
-    placed = cells.join(index.select("anonymous_feature_id", "feature_index"),
-                        "anonymous_feature_id")
-    at = (F.col("feature_index") * periods_back + F.col("period_offset")).cast("int")
-    rows = placed.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("i"), F.col("value").alias("v"))))
-        .alias("_c"))
-    return rows.select("sample_id", F.col("_c.i").alias("indices"), F.col("_c.v").alias("values"))
+def model_cells(scaled: DataFrame, metadata: DataFrame | None = None, wide: DataFrame | None = None) -> DataFrame:
+    """All model inputs as cells (sample_id, name, value); a cell that is absent counts as 0.
+
+    A fact cell gives ``<id>_o<p>_value`` and ``<id>_o<p>_known`` (1), so a value that scales
+    to 0 differs from one that is missing. ``wide`` holds further plain columns per sample.
+    """
+    at = F.concat(F.col("anonymous_feature_id"), F.lit("_o"), F.col("period_offset").cast("string"))
+    kinds = F.explode(F.array(F.struct(F.concat(at, F.lit("_value")).alias("name"), F.col("value").cast("double").alias("value")),
+                              F.struct(F.concat(at, F.lit("_known")).alias("name"), F.lit(1.0).alias("value"))))
+    rows = scaled.select("sample_id", kinds.alias("c")).select("sample_id", "c.name", "c.value")
+    if metadata is not None:
+        names = [c for c in metadata.columns if c not in ("sample_id", "period_offset")]
+        flat = metadata.select("sample_id", "period_offset", *[F.col(c).cast("double") for c in names])
+        long = flat.unpivot(["sample_id", "period_offset"], names, "kind", "value")
+        rows = rows.unionByName(long.select("sample_id", F.concat(
+            F.lit("meta_"), "kind", F.lit("_o"), F.col("period_offset").cast("string")).alias("name"), "value"))
+    if wide is not None:
+        names = [c for c in wide.columns if c != "sample_id"]
+        rows = rows.unionByName(wide.select("sample_id", *[F.col(c).cast("double") for c in names])
+                                .unpivot("sample_id", names, "name", "value"))
+    return rows.where("value IS NOT NULL")
+
+
+def cell_index(cells: DataFrame) -> DataFrame:
+    """(name, position): the distinct names numbered from 0 in order.
+
+    Names are dealt to ranges, numbered inside each, and shifted by the sizes of the
+    ranges before; only the range sizes meet in one task.
+    """
+    names = cells.select("name").distinct().repartitionByRange("name").select("name", F.spark_partition_id().alias("part"))
+    sizes = names.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return names.withColumn("inside", inside).join(before, "part").select(
+        "name", (F.col("before") + F.col("inside")).cast("int").alias("position"))
 
 
-def feature_index(ids: DataFrame) -> DataFrame:
-    """Number the distinct feature ids from 0 (a vocabulary, as in ``fit_feature_map``)."""
-    w = Window.partitionBy(F.lit(0)).orderBy("anonymous_feature_id")
-    return (ids.select("anonymous_feature_id").distinct()
-            .withColumn("feature_index", F.row_number().over(w) - 1))
+def cell_arrays(cells: DataFrame, index: DataFrame) -> DataFrame:
+    """(sample_id, indices, values): each sample's cells in order of position; names without one drop out."""
+    rows = cells.join(index, "name").groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "value"))).alias("_c"))
+    return rows.select("sample_id", F.col("_c.position").alias("indices"), F.col("_c.value").alias("values"))
+
+
+def sparse_struct(arrays: DataFrame, size: int, out: str = "features") -> DataFrame:
+    """``cell_arrays`` as the struct that Spark ML stores sparse vectors in.
+
+    Written as Parquet and read back under ``VectorUDT`` (``read_vectors``) it is a
+    vector column; no Python runs.
+    """
+    return arrays.withColumn(out, F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                                           "indices", "values")).drop("indices", "values")
 
 
-def sparse_vectors(arrays: DataFrame, size: int, out: str = "features") -> DataFrame:
-    """Turn ``cell_arrays`` into ML sparse vectors of a fixed size."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+def read_vectors(spark, path: str, out: str = "features") -> DataFrame:
+    """A written table whose ``out`` column is a vector struct, with that column as a vector."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
-    pack = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
-    return arrays.select("sample_id", pack("indices", "values").alias(out))
+    plain = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(out, VectorUDT()) if f.name == out else f for f in plain])).parquet(path)

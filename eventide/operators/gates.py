@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.functions import scalars as S
+
 # Words that must not appear in model column names.
 FORBIDDEN_WORDS = ["revenue", "income", "asset", "liability", "cash", "debt", "equity", "eps",
                    "margin", "roe", "roa", "earnings"]
@@ -55,7 +57,7 @@ def accounting(daily: DataFrame) -> DataFrame:
 def no_future_facts(samples: DataFrame, cells: DataFrame) -> DataFrame:
     """No fact used by a sample may be accepted after the sample's own event."""
     seen = cells.select("sample_id", "accepted_date").join(
-        samples.select("sample_id", F.to_date("accepted_datetime").alias("_day")), "sample_id")
+        samples.select("sample_id", S.event_day(samples).alias("_day")), "sample_id")
     return _count(seen, "no_future_facts", F.col("accepted_date") > F.col("_day"))
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.functions import scalars as S
+
 from eventide.functions import rolling as R
 from eventide.operators.asof import asof_lookup
 
@@ -57,7 +59,7 @@ def point_in_time_universe(prices: DataFrame, events: DataFrame, as_of: str, key
                      & (F.col("last_close") >= rules.min_price)
                      & (F.col("rows") >= rules.min_rows)
                      & (F.col("_dv.trailing_dv") >= rules.min_dollar_volume)))
-    reporting = (events.where(F.to_date("accepted_datetime") < day).groupBy(key)
+    reporting = (events.where(S.event_day(events) < day).groupBy(key)
                  .agg(F.count(F.lit(1)).alias("events"))
                  .where(F.col("events") >= rules.min_events))
     return (liquid.join(reporting, key)

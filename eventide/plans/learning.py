@@ -23,7 +23,6 @@ from eventide.operators import diagnostics as D
 from eventide.operators import scale_target as ST
 
 LABEL = "target_normalized_signal"
-NORMAL_SOLVER_LIMIT = 4096
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,17 +45,17 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0, weight: str | None = None,
     """Ridge with penalty ``alpha`` on the sum of squares.
 
     Spark minimises the mean error on a label scaled to unit deviation, so the
-    same solution needs regParam = alpha * std(label) / n.
+    same solution needs regParam = alpha * std(label) / n. The same iterative
+    solver serves every width; it stops when a step improves the loss by less
+    than 1e-12 of it.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     y = F.col(label)
     m = train.agg(F.sum(w).alias("n"), F.sum(w * y).alias("s"),
                   F.sum(w * y * y).alias("ss")).first()
     variance = max(m.ss / m.n - (m.s / m.n) ** 2, 0.0)
-    width = train.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 0)
-    est = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
-                           regParam=alpha * variance ** 0.5 / m.n, standardization=False,
-                           solver="normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs")
+    est = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, standardization=False,
+                           regParam=alpha * variance ** 0.5 / m.n, solver="l-bfgs", tol=1e-12, maxIter=2000)
     return (est.setWeightCol(weight) if weight else est).fit(train)
 
 

@@ -30,8 +30,8 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a temporary
-    folder made.
+    Only a session on one machine that names none (tests) gets a temporary
+    folder; on a cluster its executors would not share it, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventide-"))
     return spark.sparkContext.getCheckpointDir()
 

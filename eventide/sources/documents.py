@@ -44,7 +44,11 @@ def company_directory(documents: DataFrame) -> DataFrame:
 
 def event_list(documents: DataFrame, forms: tuple[str, ...] = DEFAULT_FORMS,
                include_amendments: bool = False) -> DataFrame:
-    """Events from parallel arrays, cut to the shortest array."""
+    """Events from parallel arrays, cut to the shortest array.
+
+    ``accepted_datetime`` is an instant (text without a zone is New York time);
+    ``accepted_text`` keeps what the document says.
+    """
     doc = documents.select(F.from_json("raw", schemas.EVENT_DOCUMENT).alias("_d"))
     recent = [F.col(f"_d.filings.recent.{n}") for n in schemas.EVENT_ARRAYS]
     shortest = F.least(*[F.coalesce(F.size(a), F.lit(0)) for a in recent])
@@ -60,7 +64,8 @@ def event_list(documents: DataFrame, forms: tuple[str, ...] = DEFAULT_FORMS,
         S.entity_id("cik").alias("internal_company_id"), "cik",
         e["accessionNumber"].alias("accession_number"), e["form"].alias("form_type"),
         e["filingDate"].try_cast("date").alias("filed_date"),
-        e["acceptanceDateTime"].alias("accepted_datetime"),
+        S.eastern_instant(e["acceptanceDateTime"]).alias("accepted_datetime"),
+        e["acceptanceDateTime"].alias("accepted_text"),
         e["reportDate"].try_cast("date").alias("report_period_end_date"),
         e["primaryDocument"].alias("primary_document"), amended.alias("is_amendment"))
 

@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.sources import schemas
 
 
+MAX_LAYOUTS = 200
+
+
+def _layouts(spark: SparkSession, path: str, ticker_column: str | None) -> tuple[DataFrame, list[str]]:
+    """The header line of each file, and the distinct header lines; raises if a file lacks a column."""
+    wanted = sorted(schemas.REQUIRED_PRICE_COLUMNS)
+    is_header = F.col("value").rlike(rf'(^|,)\s*"?({"|".join(wanted)})"?\s*(,|$)')
+    heads = (spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), "value")
+             .groupBy("_file").agg(F.max(F.when(is_header, F.col("value"))).alias("_header")))
+    found = heads.groupBy("_header").agg(F.min("_file").alias("example")).limit(MAX_LAYOUTS + 1).collect()
+    if len(found) > MAX_LAYOUTS:
+        raise ValueError(f"{path} holds more than {MAX_LAYOUTS} column layouts")
+    for row in found:
+        missing = sorted(set(wanted) - set(_names(row._header or "")))
+        if missing:
+            raise ValueError(f"{row.example} lacks required columns: {missing}")
+    return heads, [row._header for row in found]
+
+
+def _names(header: str) -> list[str]:
+    return [c.strip().strip('"') for c in header.split(",")]
+
+
 def read_prices_csv(spark: SparkSession, path: str, start: str | None = None,
                     end: str | None = None, ticker_column: str | None = None) -> DataFrame:
-    """Daily prices of many CSV files in one scan.
+    """Daily prices of many CSV files, columns taken by each file's own header.
 
-    The ticker is the upper-cased file name, or a partition column if named.
-    Missing required columns raise before anything is read.
+    The ticker is the upper-cased file name, or a partition column if named. Files are
+    read once per distinct header; one that lacks a required column raises first.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = sorted(set(schemas.REQUIRED_PRICE_COLUMNS) - set(header))
-    if missing:
-        raise ValueError(f"{path} lacks required columns: {missing}")
-    order = [schemas.PRICE_CSV[c] if c in schemas.PRICE_CSV.names else
-             schemas.T.StructField(c, schemas.T.StringType()) for c in header
-             if c != ticker_column]
-    schema = schemas.T.StructType(order)
-    if ticker_column:
-        schema = schema.add(ticker_column, schemas.T.StringType())
-    raw = spark.read.option("header", True).schema(schema).csv(path)
+    heads, headers = _layouts(spark, path, ticker_column)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv.*$", "")
-    ticker = F.col(ticker_column) if ticker_column else name
-    out = raw.select(*schemas.REQUIRED_PRICE_COLUMNS, F.upper(ticker).alias("ticker_at_date"))
+    parts = []
+    for header in headers:
+        schema = schemas.T.StructType([
+            schemas.PRICE_CSV[c] if c in schemas.PRICE_CSV.names else schemas.T.StructField(c, schemas.T.StringType())
+            for c in _names(header) if c != ticker_column])
+        if ticker_column:
+            schema = schema.add(ticker_column, schemas.T.StringType())
+        rows = spark.read.option("header", True).schema(schema).csv(path)
+        ticker = F.col(ticker_column) if ticker_column else name
+        rows = rows.select(*schemas.REQUIRED_PRICE_COLUMNS, F.upper(ticker).alias("ticker_at_date"),
+                           F.col("_metadata.file_path").alias("_file"))
+        if len(headers) > 1:
+            rows = rows.join(heads.where(F.col("_header") == header).select("_file"), "_file", "left_semi")
+        parts.append(rows.drop("_file"))
+    out = stack(parts)
     if start:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
@@ -102,25 +129,37 @@ def load_encoder(spark: SparkSession, path: str, derived: bool = True) -> dict[s
 
 def refresh_cohort(spark: SparkSession, scores: DataFrame, path: str, force: bool = False,
                    ) -> tuple[DataFrame, bool]:
-    """Stored scores of the newest quarter; rewritten only when a newer quarter has appeared.
+    """Stored scores of the newest quarter; rewritten when the scores it came from have changed.
 
-    Returns the stored table and whether it was rewritten. Each version goes to
-    its own folder, so readers of the old one are undisturbed.
+    A sign of the source's content (row count and a sum of row hashes) is stored with
+    each version. Returns the stored table and whether it was rewritten. Each version
+    goes to a folder named by quarter and sign, so readers of the old one are
+    undisturbed and a read error is never mistaken for a missing version.
     """
     from eventide.operators.diagnostics import latest_cohort
-    newest = scores.agg(F.max(F.date_format(F.date_trunc("quarter", F.col("entry_date")),
-                                            "yyyy-MM-dd"))).first()[0]
-    target = f"{path}/quarter={newest}"
-    held = None
-    if not force:
-        try:
-            held = spark.read.parquet(target)
-        except Exception:  # no version of this quarter yet
-            held = None
-    if held is None:
-        latest_cohort(scores).write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target), True
-    return held, False
+    latest = latest_cohort(scores)
+    quarter = F.date_format(F.date_trunc("quarter", F.max("entry_date")), "yyyy-MM-dd")
+    row = scores.agg(quarter.alias("quarter")).first()
+    sign = latest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(
+        F.sum(F.xxhash64(*sorted(latest.columns)).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    version = spark.createDataFrame([(row.quarter, f"{sign.n}-{sign.h}")], "quarter string, sign string")
+    target = f"{path}/quarter={row.quarter}/sign={sign.n}_{sign.h}"
+    held = None if force else _versions(spark, path)
+    if held is not None and not held.join(version, ["quarter", "sign"], "left_semi").isEmpty():
+        return spark.read.parquet(target), False
+    latest.write.mode("overwrite").parquet(target)
+    version.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return spark.read.parquet(target), True
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The versions written below ``path``; None only where there is no such table yet."""
+    try:
+        return spark.read.schema("quarter string, sign string").parquet(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def positional_first(df: DataFrame, order: list[str], n: int) -> DataFrame:

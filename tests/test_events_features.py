@@ -116,7 +116,7 @@ def _facts(spark, extra=()):
 
 
 def _asked(spark, day):
-    return spark.createDataFrame([("s", A, day, T(day.year, day.month, day.day))],
+    return spark.createDataFrame([("s", A, day, T(day.year, day.month, day.day, 17))],  # noon in New York
                                  "sample_id string, internal_company_id string, entry_date date, accepted_datetime timestamp")
 
 

@@ -128,3 +128,68 @@ def test_content_change_and_stale_series(spark):
     assert inc.content_changed(a, a, "date").first().changed is False
     assert inc.content_changed(a, b, "date").first().changed is True
     assert [r.k for r in inc.stale_series(b, "k", "2024-01-22").collect()] == ["k"]
+
+
+def test_event_day_is_eastern_in_any_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from eventide.functions import scalars as S
+    rows = [("2020-01-03T01:30:00Z", "2020-01-02"), ("2020-01-03T01:30:00", "2020-01-03"), ("2020-07-03T03:59:00+00:00", "2020-07-02"),
+            ("2020-07-03T04:00:00Z", "2020-07-03"), ("no time", None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            df = spark.createDataFrame(rows, "t string, want string").withColumn("at", S.eastern_instant("t"))
+            got = df.select("want", S.event_day(df, "at").cast("string").alias("got"), S.event_day(df, "t").cast("string").alias("text")).collect()
+            assert [r.got for r in got] == [r.want for r in got]
+            assert [r.text for r in got] == [r.want for r in got]
+            assert df.where(F.col("at").isNull()).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    import pytest
+
+    from eventide.sources import tables
+    (tmp_path / "aa.csv").write_text("date,open,high,low,close,adjusted_close,volume\n2020-01-02,1,1,1,1,7,100\n")
+    (tmp_path / "bb.csv").write_text("volume,adjusted_close,note,close,low,high,open,date\n300,9,x,2,2,2,2,2020-01-03\n")
+    got = {r.ticker_at_date: (str(r.date), r.adjusted_close, r.volume) for r in tables.read_prices_csv(spark, str(tmp_path)).collect()}
+    assert got == {"AA": ("2020-01-02", 7.0, 100.0), "BB": ("2020-01-03", 9.0, 300.0)}
+    (tmp_path / "cc.csv").write_text("date,open,high,low,close,volume\n2020-01-02,1,1,1,1,100\n")
+    with pytest.raises(ValueError, match="adjusted_close"):
+        tables.read_prices_csv(spark, str(tmp_path))
+
+
+def test_cohort_is_rewritten_when_its_source_changes(spark, tmp_path):
+    from eventide.sources import tables
+    rows = [("a", "2020-05-01", 1.0), ("b", "2020-05-02", 2.0)]
+    schema = "sample_id string, entry_date string, raw_score double"
+    scores = spark.createDataFrame(rows, schema).selectExpr("sample_id", "date(entry_date) AS entry_date", "raw_score")
+    path = str(tmp_path / "cohort")
+    assert tables.refresh_cohort(spark, scores, path)[1]
+    assert not tables.refresh_cohort(spark, scores, path)[1]
+    assert tables.refresh_cohort(spark, scores, path, force=True)[1]
+    changed = scores.union(spark.createDataFrame([("c", "2020-05-03", 3.0)], schema).selectExpr("sample_id", "date(entry_date)", "raw_score"))
+    held, written = tables.refresh_cohort(spark, changed, path)
+    assert written and held.count() == 3
+
+
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    from eventide import session
+
+    class Elsewhere:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}  # names no folder
+        sparkContext = Elsewhere()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
