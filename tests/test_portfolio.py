@@ -22,21 +22,19 @@ D = dt.date
 RULES = C.PortfolioRules(min_weight=0.0)
 
 
-def fill_to_cap(w, cap):
-    """Spread the excess until it settles; the plain iterative definition."""
-    w = np.array(w, float)
-    total = w.sum()
-    if cap * (w > 0).sum() <= total:
-        return np.where(w > 0, cap, 0.0)
-    for _ in range(500):
-        over = w > cap + 1e-15
-        if not over.any():
-            break
-        excess = (w[over] - cap).sum()
-        w[over] = cap
-        free = w < cap - 1e-15
-        w[free] += excess * w[free] / w[free].sum()
-    return w
+def check_capped(raw, got, cap):
+    """The conditions that single out the capped weights: nothing above the cap, the
+    total kept if the cap allows it, and the names below it still in their old proportion."""
+    raw, got = np.asarray(raw, float), np.asarray(got, float)
+    assert (got <= cap + 1e-9).all() and (got >= 0).all()
+    live = raw > 0
+    assert np.isclose(got.sum(), min(raw.sum(), cap * live.sum()))
+    below = live & (got < cap - 1e-9)
+    ratio = got[below] / raw[below]
+    assert np.allclose(ratio, ratio[:1])
+    at = live & ~below
+    if below.any():  # a capped name would exceed the cap at the others' ratio
+        assert (raw[at] * ratio[0] >= cap - 1e-9).all()
 
 
 def _candidates(spark, days=30, seed=1):
@@ -52,15 +50,14 @@ def _candidates(spark, days=30, seed=1):
         rows, columns=["as_of", "seq", "id", "sector", "s", "vol"])
 
 
-def test_caps_match_iteration(spark):
+def test_caps_meet_their_conditions(spark):
     picked, pdf = _candidates(spark)
     for cap in (0.05, 0.2, 0.4):
         got = W.inverse_vol_weights(picked, replace(RULES, max_weight=cap)).toPandas()
         for day, rows in pdf.groupby("as_of"):
             raw = (rows.s / rows.vol) / (rows.s / rows.vol).sum()
-            want = dict(zip(rows.id, fill_to_cap(raw, cap)))
             mine = got[got.as_of == day].set_index("internal_company_id").weight
-            assert np.allclose([mine.get(i, 0.0) for i in want], list(want.values()), atol=1e-9)
+            check_capped(raw, [mine.get(i, 0.0) for i in rows.id], cap)
         assert np.allclose(got.groupby("as_of").weight.sum() + got.groupby("as_of").cash_weight.max(), 1)
 
 
@@ -212,11 +209,36 @@ def test_covariance_and_denoising(spark):
     assert np.allclose(clean, clean.T) and np.linalg.eigvalsh(clean)[0] > 0
     assert np.allclose(np.sqrt(np.diag(clean)), panel.std(axis=0, ddof=1), rtol=1e-3)
     w = N.tilted_min_variance(np.diag([1e-4, 1e-4, 9e-4]), np.array([0.3, 0.3, 0.3]), 5.0)
-    assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w[0] == w[1] > w[2]
+    assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and np.isclose(w[0], w[1]) and w[1] > w[2]
     w = N.tilted_min_variance(np.diag([1e-4, 1e-4]), np.array([0.6, 0.4]), 5.0)
     assert w[0] > w[1]
 
 
+def test_denoised_covariance_keeps_the_market_mode():
+    rng = np.random.default_rng(4)
+    market = rng.normal(0, 0.02, (250, 1))
+    panel = market + rng.normal(0, 0.01, (250, 30))
+    clean, corr = N.denoised_covariance(panel), np.corrcoef(panel, rowvar=False)
+    unit = clean / np.outer(*[np.sqrt(np.diag(clean))] * 2)
+    assert np.allclose(np.diag(clean), panel.var(axis=0, ddof=1))
+    assert np.isclose(np.linalg.eigvalsh(unit)[-1], np.linalg.eigvalsh(corr)[-1], rtol=0.02)
+    assert np.ptp(np.linalg.eigvalsh(unit)[:-1]) < 0.3 * np.ptp(np.linalg.eigvalsh(corr)[:-1])
+
+
+def test_tilted_weights_are_proportional_to_their_utility():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        for aversion in (0.5, 5.0, 500.0):
+            cov = np.cov(rng.normal(0, 0.02, (3 * n + 5, n)), rowvar=False).reshape(n, n)
+            s = rng.dirichlet(np.ones(n))
+            w = N.tilted_min_variance(cov, s, aversion)
+            utility = s - aversion * cov @ w
+            held = w > 0
+            assert np.isclose(w.sum(), 1) and (w >= 0).all()
+            k = utility[held] @ w[held] / (w[held] @ w[held])
+            assert np.allclose(utility[held], k * w[held], atol=1e-8) and (utility[~held] <= 1e-8).all()
+
+
 def test_denoised_weights_fall_back_without_history(spark):
     picked, _ = _candidates(spark, days=3)
     prices = spark.createDataFrame([("N000", D(2023, 12, 30), 1.0)],
