@@ -6,7 +6,7 @@ import importlib
 
 MODULES = ["event_queries", "feature_queries", "market_queries", "weight_queries",
            "portfolio_queries", "diagnostic_queries", "ingest_queries",
-           "learning_queries"]
+           "learning_queries", "store_queries"]
 
 
 def load():

@@ -186,14 +186,37 @@ def signal_entropy(spark, d):
                     num("risk_aversion").alias("risk_aversion"))
 
 
-@query("saturated_barbell_weights", Q.with_(PICK, final(capped(floored(
+@query("saturated_weights", Q.with_(PICK, final(capped(floored(
     "s / (greatest(km, 1e-9) + s) / vol",
     "(SELECT *, median(s) OVER (PARTITION BY date) AS km FROM pick)"), "0.05"))))
-def saturated_barbell_weights(spark, d):
+def saturated_weights(spark, d):
     p = W.saturated(V.picks(spark, d), "positive_signal", "_sat")
     return out(W.inverse_vol_weights(p.withColumn("positive_signal", F.col("_sat")), V.RULES))
 
 
+def _barbell_over(spark, d, picked):
+    """The denoised barbell on candidates whose signal has been transformed."""
+    return out(denoise.denoised_weights(picked, V.prices(spark, d, "nation"), "market_id", V.RULES,
+                                        aversion=W.signal_entropy(picked), top_k=5))
+
+
+@query("saturated_barbell_weights")
+def saturated_barbell_weights(spark, d):
+    p = W.saturated(V.picks(spark, d), "positive_signal", "_sat")
+    return _barbell_over(spark, d, p.withColumn("positive_signal", F.col("_sat")).drop("_sat"))
+
+
+@query("shrunk_barbell_weights")
+def shrunk_barbell_weights(spark, d):
+    p = W.shrunk(V.picks(spark, d), "positive_signal", "_shr")
+    return _barbell_over(spark, d, p.withColumn("positive_signal", F.greatest("_shr", F.lit(0.0))).drop("_shr"))
+
+
+@query("decayed_barbell_weights")
+def decayed_barbell_weights(spark, d):
+    return _barbell_over(spark, d, C.select_candidates(C.with_decayed_signal(V.active(spark, d)), V.RULES))
+
+
 @query("decayed_weights", Q.with_(ACT, f"""
 , dec AS (SELECT * EXCLUDE (sig), sig * least(greatest(exp(-least(greatest(date - en, 0), 252) / 63.0), 0.1), 1) AS sig FROM act),
 dp AS (SELECT * FROM (SELECT *, greatest(sig, 0) AS s, row_number() OVER (PARTITION BY date ORDER BY greatest(sig, 0) DESC, ent) AS rk

@@ -133,10 +133,22 @@ def dispersion_scale(dispersion: DataFrame, *, window: int = 252, kt: float = 2.
                     .alias("dispersion_scale")))
 
 
-def apply_scale(targets: DataFrame, scales: DataFrame, column: str, day: str = "as_of") -> DataFrame:
-    """Scale each day's weights by at most 1 and put the rest in cash."""
-    s = F.least(F.coalesce(F.col(column), F.lit(1.0)), F.lit(1.0))
-    joined = targets.join(F.broadcast(scales.select(F.col("date").alias(day), column)), day, "left")
-    return (joined.withColumn("weight", F.col("weight") * s).drop(column)
-            .withColumn("cash_weight", F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("weight").over(
-                Window.partitionBy(day)))))
+def apply_scale(targets: DataFrame, scales: DataFrame, column: str, day: str = "as_of",
+                most: float | None = None) -> DataFrame:
+    """Scale each day's weights by the latest scale known that day; what is not invested is cash.
+
+    A day before the first scale keeps its weights. ``most`` bounds the scale; without
+    it a scale above one levers, as a volatility target allows. Weights are summed per
+    day and joined back, so a day may hold any number of names.
+    """
+    days = targets.select(day).distinct()
+    known = scales.where(F.col(column).isNotNull()).select(F.col("date").alias(day), F.col(column).alias("_scale"))
+    latest = F.last("_scale", ignorenulls=True).over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0))
+    filled = (days.withColumn("_asked", F.lit(True)).join(known, day, "full")
+              .withColumn("_scale", latest).where("_asked").select(day, F.coalesce("_scale", F.lit(1.0)).alias("_scale")))
+    if most is not None:
+        filled = filled.withColumn("_scale", F.least("_scale", F.lit(most)))
+    scaled = (targets.drop("cash_weight").join(F.broadcast(filled), day)  # one row per day
+              .withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale"))
+    cash = scaled.groupBy(day).agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("weight")).alias("cash_weight"))
+    return scaled.join(F.broadcast(cash), day)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
@@ -105,5 +105,15 @@ def company_holdout(df: DataFrame, entity: str, held_buckets: list[int],
 
 
 def positional_slice(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
-    """Rows at positions first..last-1 of a stated order."""
-    return df.orderBy(*order).offset(first).limit(last - first)
+    """Rows at positions first..last-1 of a stated (total) order.
+
+    Rows are dealt to ranges of the order and numbered inside each; ranges that lie
+    outside the slice are dropped by their sizes alone, so no task reads the prefix.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", "_size", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    wanted = before.where((F.col("_before") < last) & (F.col("_before") + F.col("_size") > first)).select("_part", "_before")
+    position = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (ranged.join(wanted, "_part").withColumn("_at", position)
+            .where((F.col("_at") >= first) & (F.col("_at") < last)).drop("_part", "_before", "_at"))

@@ -299,6 +299,13 @@ def blended_weights(active: DataFrame, rules: PortfolioRules, *, alpha: float =
     scale = F.when(F.col("_sum") > lev, F.lit(lev) / F.col("_sum")).otherwise(1.0)
     out = (out.withColumn("weight", F.col("weight") * scale)
            .withColumn("cash_weight", F.greatest(F.lit(0.0), F.lit(lev) - F.col("_sum"))))
+    if not rules.allow_cash:
+        # what is left in cash goes to the names in proportion, as far as the cap lets it
+        short = (F.col("cash_weight") > 1e-9) & (F.col("_sum") > 0)
+        full = out.withColumn("weight", F.when(short, F.col("weight") / F.col("_sum") * lev).otherwise(F.col("weight")))
+        full = _cap_unbounded(full.drop("_sum", "cash_weight"), "as_of", rules.max_weight)
+        left = full.groupBy("as_of").agg(F.greatest(F.lit(0.0), F.lit(lev) - F.sum("weight")).alias("cash_weight"))
+        out = full.join(F.broadcast(left), "as_of")
     return out.where(F.col("weight") > 0).select(*OUT).unionByName(fallback)
 
 
