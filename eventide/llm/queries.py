@@ -14,6 +14,7 @@ from eventide.llm import (
     language_id,
     mixing,
     near_dedup,
+    oracles,
     secret_scan,
     substring_dedup,
     toxicity,
@@ -75,5 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": oracles.secrets_sql(),
+    "op3_embedding_dedup": oracles.VECTORS,
+    "op4_substring_dedup": oracles.PASSAGES,
+    "op9_near_dedup": oracles.NEAR,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
