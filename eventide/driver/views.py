@@ -255,9 +255,13 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions active on each trading day. Not staged: it is many times its input."""
-    return candidates.active_by_day(predictions(spark, sf_dir), calendar(spark, sf_dir),
-                                    days(spark, sf_dir))
+    """Predictions active on each trading day, staged.
+
+    It is many times its input, but several allocators and benchmarks read it, some of
+    them more than once; expanded in every plan it was the largest cost of each.
+    """
+    return staged(spark, sf_dir, "live", lambda: candidates.active_by_day(
+        predictions(spark, sf_dir), calendar(spark, sf_dir), days(spark, sf_dir)))
 
 
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:

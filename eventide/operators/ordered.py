@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from eventide.functions.scalars import correlation
 
 
-def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 32) -> DataFrame:
-    """One row per (by, value): ``n`` rows equal, ``below`` rows less, ``total`` rows."""
+def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 32,
+                   probs_wanted: list[float] | None = None) -> DataFrame:
+    """One row per (by, value): ``n`` rows equal, ``below`` rows less, ``total`` rows.
+
+    With ``probs_wanted`` only the ranges that hold one of those quantiles' positions are
+    sorted and returned; the sizes of the ranges tell which.
+    """
     v = F.col(value)
     tallies = (df.where(v.isNotNull()).groupBy(*by, value)
                .agg(F.count(F.lit(1)).alias("n")))
@@ -39,11 +44,18 @@ def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 32) -
                  F.sum("_in_range").over(Window.partitionBy(*by).orderBy("_range")
                                          .rowsBetween(Window.unboundedPreceding, -1)),
                  F.lit(0)))
-             .drop("_in_range"))
+             )
     within = (Window.partitionBy(*by, "_range").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (ranged.join(bases, [*by, "_range"])
-            .select(*by, value, "n",
+    placed = ranged.join(bases, [*by, "_range"])
+    if probs_wanted is not None:
+        holds = F.lit(False)
+        for p in probs_wanted:
+            at = F.lit(p) * (F.col("total") - 1)
+            for position in (F.floor(at), F.ceil(at)):
+                holds = holds | ((F.col("_base") <= position) & (position < F.col("_base") + F.col("_in_range")))
+        placed = placed.where(holds)
+    return (placed.select(*by, value, "n",
                     (F.col("_base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
                     .alias("below"), "total"))
 
@@ -64,7 +76,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str,
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
                     out: str = "q") -> DataFrame:
     """Linear-interpolated quantiles per group as the array column ``out``."""
-    counts = ordered_counts(df, by, value)
+    counts = ordered_counts(df, by, value, probs_wanted=probs)
 
     def pick(position: Column) -> Column:
         hit = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
