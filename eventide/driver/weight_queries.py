@@ -238,6 +238,22 @@ def ensemble_weights(spark, d):
                                   W.barbell_weights(p, V.RULES), V.RULES))
 
 
+@query("limited_turnover", Q.with_(PICK, f"""
+, a AS (SELECT date, ent, w FROM {capped(floored('s / vol', 'pick'), '0.05')} WHERE w > 0),
+b AS (SELECT date, ent, w FROM {capped(floored(_BAR, 'pick'), '0.05')} WHERE w > 0),
+u AS (SELECT date, ent, sum(n) AS n, sum(o) AS o FROM (
+  SELECT date, ent, w AS n, 0 AS o FROM a UNION ALL SELECT date, ent, 0, w FROM b) GROUP BY 1, 2),
+t AS (SELECT date, sum(abs(n - o)) / 2 AS t FROM u GROUP BY 1)
+SELECT date::VARCHAR AS as_of, ent AS internal_company_id,
+  {r('o + (n - o) * coalesce(least(1, 0.02 / nullif(t, 0)), 1)')} AS weight FROM u JOIN t USING (date)
+""".replace("\n, a AS", ", a AS", 1)))
+def limited_turnover(spark, d):
+    """From barbell holdings towards inverse volatility targets, as far as two per cent of turnover allow."""
+    p = V.picks(spark, d)
+    moved = W.limit_turnover(W.inverse_vol_weights(p, V.RULES), W.barbell_weights(p, V.RULES), 0.02)
+    return moved.select(day("as_of").alias("as_of"), "internal_company_id", num("weight").alias("weight"))
+
+
 @query("max_entropy_weights")
 def max_entropy_weights(spark, d):
     return out(W.max_entropy_weights(V.picks(spark, d), V.RULES))

@@ -378,7 +378,8 @@ def limit_turnover(targets: DataFrame, previous: DataFrame, max_turnover: float)
             .unionByName(previous.select("as_of", ENTITY, F.lit(0.0).alias("_new"),
                                          F.col("weight").alias("_old")))
             .groupBy("as_of", ENTITY).agg(F.sum("_new").alias("_new"), F.sum("_old").alias("_old")))
-    traded = F.sum(F.abs(F.col("_new") - F.col("_old"))).over(day_window()) / 2.0
-    ratio = F.least(F.lit(1.0), F.lit(max_turnover) / F.nullif(traded, F.lit(0.0)))
+    traded = both.groupBy("as_of").agg((F.sum(F.abs(F.col("_new") - F.col("_old"))) / 2.0).alias("_traded"))
+    ratio = F.least(F.lit(1.0), F.lit(max_turnover) / F.nullif(F.col("_traded"), F.lit(0.0)))
+    both = both.join(F.broadcast(traded), "as_of")  # one row per day
     return both.select("as_of", ENTITY, (F.col("_old") + (F.col("_new") - F.col("_old"))
                                          * F.coalesce(ratio, F.lit(1.0))).alias("weight"))

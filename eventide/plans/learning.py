@@ -128,8 +128,11 @@ def time_series_folds(samples: DataFrame, n_folds: int = 5, min_train_months: in
 
 
 def grid_search(matrix: DataFrame, kind: str, grid: dict[str, list], metric: str = "spearman",
-                n_folds: int = 5, maximise: bool = True) -> tuple[dict, list[dict]]:
-    """Mean fold metric of every parameter combination, and the best combination."""
+                n_folds: int = 5, maximise: bool = True, weighted: bool = True) -> tuple[dict, list[dict]]:
+    """Mean fold metric of every parameter combination, and the best combination.
+
+    With ``weighted`` each fold's training rows carry their frequency weights, as in the final fit.
+    """
     rows = labelled(matrix).where(F.col("split").isin("train", "validation")).persist()
     try:
         folds = time_series_folds(rows, n_folds)
@@ -138,7 +141,10 @@ def grid_search(matrix: DataFrame, kind: str, grid: dict[str, list], metric: str
             params = dict(zip(grid, values))
             scores = []
             for i, f in enumerate(folds):
-                model = FITTERS[kind](rows.where(F.col("entry_date") <= F.lit(f.train_end)), **params)
+                part, weight = rows.where(F.col("entry_date") <= F.lit(f.train_end)), None
+                if weighted:
+                    part, weight = ST.frequency_weights(part), "sample_weight"
+                model = FITTERS[kind](part, weight=weight, **params)
                 held = rows.where((F.col("entry_date") > F.lit(f.train_end))
                                   & (F.col("entry_date") <= F.lit(f.eval_end)))
                 pred = score(model, held, f"fold{i}", kind)
