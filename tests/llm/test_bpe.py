@@ -59,6 +59,19 @@ def test_against_the_library(spark, tokeniser):
              (103, "﻿x​   "), (104, "x" * 150)]
     df = spark.createDataFrame([(*r, 0, "w") for r in rows], "doc_id long, text string, ids int, words string").repartition(3)
     assert sorted(map(tuple, bpe.tokenised(df).collect()), key=str) == digests(tokeniser, rows)
+    want = sorted((str(d), tokeniser.encode_ordinary(t or "")) for d, t in rows)
+    for encode in (bpe.encode, bpe.encode_by_functions):
+        assert sorted((str(r.doc_id), list(r.ids)) for r in encode(df, bpe.ranks()).collect()) == want
+
+
+def test_long_pieces(tokeniser):
+    rng = random.Random(2)
+    rank = {t.encode("latin-1"): r for t, r in bpe.ranks().items()}
+    single = [bytes([b]) for b in range(256)]
+    for n in (1, 2, 5, 40, 300, 399, 400, 900, 5000):
+        for signs in ("ab", "etaoinshr", "é漢aß"):
+            word = "".join(rng.choice(signs) for _ in range(n))
+            assert bpe.merge(word.encode(), rank, single) == bpe._merge_long(word.encode(), rank) == tokeniser.encode_ordinary(word)
 
 
 def test_empty_table(spark):
