@@ -5,9 +5,10 @@ share a minimiser form a super-k-mer; it travels as one packed string to the buc
 that minimiser, where sorting its windows counts them exactly. Equal windows have equal
 minimisers, so buckets see every repetition.
 
-First only the minimisers are counted; super-k-mers whose minimiser occurs once hold no
-repeated window and are not sent. Equal packed strings are counted before they reach a
-bucket, and buckets with very many different strings are split by window.
+First super-k-mers are compared by minimiser and a hash of their words. One whose
+minimiser occurs once holds no repeated window; if all of a minimiser's are copies of
+one, every window is repeated. Neither needs its words. Of the others one copy of each
+travels, and buckets with very many different strings are split by window.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import byte_texts, hash_words, key_runs, window_hashes
+from eventide.llm.common import byte_texts, hash_words, key_runs, mix, window_hashes
 from eventide.session import materialize
 
 WINDOW = 35  # words
 SHINGLE = 5  # words of a minimiser
 HOT = 2000  # different strings of a bucket from which on it is split by window
 CHUNK = 1 << 20  # bytes of text at once
+BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -41,8 +43,18 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def super_kmers(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word, number of windows and minimiser of each super-k-mer.
+def run_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of runs of word hashes: polynomials in ``BASE`` from differences of prefix sums."""
+    n = len(words)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(n, BASE, np.uint64), dtype=np.uint64)
+        down = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
+        return mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
+
+
+def super_kmers(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, number of windows, minimiser and hash of the words of each super-k-mer.
 
     A super-k-mer is a run of windows whose leftmost smallest shingle is at one place,
     so its own windows all differ.
@@ -50,8 +62,9 @@ def super_kmers(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     sizes = np.array([len(w) for w in words], np.int64)
     none = np.empty(0, np.int64)
     if not (sizes >= WINDOW).any():
-        return none, none, none, none
-    shingles = window_hashes(hash_words([w for ws in words for w in ws]), SHINGLE)
+        return none, none, none, none, none
+    hashes = hash_words([w for ws in words for w in ws])
+    shingles = window_hashes(hashes, SHINGLE)
     ranked = (shingles >> np.uint64(32) << np.uint64(32)) | np.arange(len(shingles), dtype=np.uint64)
     place = (minima(ranked, WINDOW - SHINGLE + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -61,9 +74,9 @@ def super_kmers(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     new[1:] = (place[whole[1:]] != place[whole[:-1]]) | (np.diff(whole) != 1)
     first = np.flatnonzero(new)
     start = whole[first]
-    text = text_of[start]
-    return (text, start - (ends - sizes)[text], np.diff(np.append(first, len(whole))),
-            shingles[place[start]].astype(np.int64))
+    text, n = text_of[start], np.diff(np.append(first, len(whole)))
+    return (text, start - (ends - sizes)[text], n, shingles[place[start]].astype(np.int64),
+            run_hashes(hashes, start, n + WINDOW - 1).astype(np.int64))
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -81,34 +94,36 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, uid = byte_texts(batch.column("text")), batch.column("uid").to_numpy()
         for lo, hi in _chunks(texts):
-            text, start, n, key = super_kmers([t.split() for t in texts[lo:hi]])
+            text, start, n, key, sid = super_kmers([t.split() for t in texts[lo:hi]])
             if len(text):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(uid[lo + text], pa.int64()), pa.array(start.astype(np.int32)),
-                     pa.array(n.astype(np.int32))], names=["key", "uid", "start", "n"])
+                    [pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(uid[lo + text], pa.int64()),
+                     pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "sid", "uid", "start", "n"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked super-k-mers of each text as strings, named by a 128-bit digest."""
+    """The asked super-k-mers of each text as strings."""
     for batch in batches:
-        texts = byte_texts(batch.column("text"))
-        uids, asked = batch.column("uid").to_pylist(), batch.column("asked")
+        texts, asked = byte_texts(batch.column("text")), batch.column("asked")
         for k, text in enumerate(texts):
             words = text.split()
-            starts, sizes, keys = (asked[k].values.field(c).to_numpy() for c in ("start", "n", "key"))
-            strings = [b" ".join(words[a:a + m + WINDOW - 1]) for a, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
+            own = {c: asked[k].values.field(c) for c in ("key", "sid", "start", "n", "copies", "splits")}
+            strings = [b" ".join(words[a:a + m + WINDOW - 1])
+                       for a, m in zip(own["start"].to_pylist(), own["n"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in strings], pa.binary()),
-                 pa.array([uids[k]] * len(strings), pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()),
-                 pa.array(strings, pa.binary())], names=["key", "sid", "uid", "start", "n", "packed"])
+                [own["key"], own["sid"], pa.array(strings, pa.binary()), own["n"], own["copies"], own["splits"]],
+                names=["key", "sid", "packed", "n", "copies", "splits"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of split buckets, cut into their windows and dealt by the window."""
+    """Strings with a place in their bucket; those of split buckets cut into windows and dealt by them."""
     for batch in batches:
         rows = []
         for key, sid, packed, n, copies, splits in zip(*(batch.column(c).to_pylist() for c in (
                 "key", "sid", "packed", "n", "copies", "splits")), strict=True):
+            if splits is None:
+                rows.append((key, 0, sid, packed, n, copies, 0))
+                continue
             words = packed.split(b" ")
             for o in range(n):
                 window = b" ".join(words[o:o + WINDOW])
@@ -116,17 +131,18 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                    pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
+                    pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
                 names=["key", "sub", "sid", "packed", "n", "copies", "at"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (sid, at, len) of windows that occur more than once in their bucket."""
-    schema = pa.schema([("sid", pa.binary()), ("at", pa.int32()), ("len", pa.int32())])
+    """Runs (key, sid, at, len) of windows that occur more than once in their bucket."""
+    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("at", pa.int32()), ("len", pa.int32())])
     for run in key_runs(batches, ["key", "sub"]):
         sids, packed, sizes, copies, base = (run.column(c).to_pylist() for c in ("sid", "packed", "n", "copies", "at"))
+        key = run.column("key")[0].as_py()
         if len(sids) == 1:  # the windows of one string all differ
-            found = [(sids[0], base[0], sizes[0])] if copies[0] > 1 else []
+            found = [(key, sids[0], base[0], sizes[0])] if copies[0] > 1 else []
         else:
             windows = []
             for s, text in enumerate(packed):
@@ -144,7 +160,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for s, mark in enumerate(marks):
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-                found += [(sids[s], base[s] + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                found += [(key, sids[s], base[s] + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)],
                                              schema=schema)
@@ -174,23 +190,28 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """Runs of repeated windows (uid, start, len) of texts (uid, text)."""
-    places = materialize(rows.mapInArrow(_places, "key long, uid long, start int, n int"), "super-kmers")
+    places = materialize(rows.mapInArrow(_places, "key long, sid long, uid long, start int, n int"), "super-kmers")
     twice = places.groupBy("key").count().where("count > 1").select("key")
-    asked = places.join(twice, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key")).alias("asked"))
-    packed = materialize(rows.join(asked, "uid").select("uid", "text", "asked").mapInArrow(
-        _packed, "key long, sid binary, uid long, start int, n int, packed binary"), "packed-super-kmers")
-    strings = materialize(packed.groupBy("sid").agg(
-        F.first("key").alias("key"), F.first("packed").alias("packed"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "strings")
-    splits = (strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT)
-              .select("key", F.ceil(F.col("strings") / (HOT // 8)).cast("long").alias("splits")))
-    dealt = strings.join(splits, "key", "left")
-    columns = ["key", "sub", "sid", "packed", "n", "copies", "at"]
-    plain = dealt.where("splits IS NULL").withColumn("sub", F.lit(0).cast("long")).withColumn("at", F.lit(0)).select(*columns)
-    cut = dealt.where("splits IS NOT NULL").select("key", "sid", "packed", "n", "copies", "splits").mapInArrow(
-        _split, "key long, sub long, sid binary, packed binary, n int, copies long, at int")
-    marks = plain.union(cut).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(
-        _count, "sid binary, at int, len int")
-    return packed.select("sid", "uid", "start").join(marks, "sid").select("uid", (F.col("start") + F.col("at")).alias("start"), "len")
+    shared = materialize(places.join(twice, "key"), "shared-super-kmers")
+
+    first = F.min(F.struct("uid", "start", "n"))
+    strings = shared.groupBy("key", "sid").agg(F.count(F.lit(1)).alias("copies"), first.alias("f")).select(
+        "key", "sid", "copies", "f.uid", "f.start", "f.n")
+    strings = materialize(strings, "strings")
+    buckets = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings"))
+    splits = F.when(F.col("strings") > HOT, F.ceil(F.col("strings") / (HOT // 8)).cast("long"))
+    asked = (strings.join(buckets.where("strings > 1").select("key", splits.alias("splits")), "key")
+             .groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "start", "n", "copies", "splits")).alias("asked")))
+    packed = rows.join(asked, "uid").select("text", "asked").mapInArrow(
+        _packed, "key long, sid long, packed binary, n int, copies long, splits long")
+    dealt = packed.mapInArrow(_split, "key long, sub long, sid long, packed binary, n int, copies long, at int")
+    counted = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(
+        _count, "key long, sid long, at int, len int")
+    alone = (strings.where("copies > 1").join(buckets.where("strings = 1"), "key")
+             .select("key", "sid", F.lit(0).alias("at"), F.col("n").alias("len")))
+    marks = materialize(counted.union(alone), "repeated-windows")
+    return shared.select("key", "sid", "uid", "start").join(marks, ["key", "sid"]).select(
+        "uid", (F.col("start") + F.col("at")).alias("start"), "len")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from eventide.llm import queries, substring_dedup
-from eventide.llm.substring_dedup import minima, remove_repeats, super_kmers
+from eventide.llm.substring_dedup import minima, remove_repeats, run_hashes, super_kmers
 
 
 def brute(rows):
@@ -53,11 +53,20 @@ def test_against_brute_force(spark, seed, hot, monkeypatch):
 def test_super_kmers_cover_every_window_once():
     rng = random.Random(4)
     texts = [[b"%d" % rng.randrange(9) for _ in range(n)] for n in (0, 34, 35, 90, 400)]
-    text, start, n, _ = super_kmers(texts)
+    text, start, n, _, sid = super_kmers(texts)
     got = sorted((t, s + k) for t, s, m in zip(text, start, n) for k in range(m))
     assert got == [(t, i) for t, w in enumerate(texts) for i in range(len(w) - 34)]
 
 
+def test_run_hashes_name_the_words():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**63, 500, np.uint64)
+    words[300:400] = words[100:200]
+    starts, lengths = np.array([100, 300, 100, 101, 301, 0]), np.array([60, 60, 61, 60, 60, 500])
+    got = run_hashes(words, starts, lengths)
+    assert got[0] == got[1] and got[3] == got[4] and len(set(got.tolist())) == 4
+
+
 def test_minima():
     x = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     assert minima(x, 31).tolist() == [x[i:i + 31].min() for i in range(170)]
