@@ -28,7 +28,7 @@ from eventide.session import materialize
 
 ORDER = 2
 CUT = 5  # counts above it are not discounted
-BLOCK = 3_000_000  # tokens of a block, unless one text has more
+BLOCK = 800_000  # tokens of a block, unless one text has more
 MOST_BUCKETS = 2000
 CHUNK = 1 << 20  # bytes of text at once
 START = np.uint64(0x5BF0363DB3C4A6D1)  # stands before a text
