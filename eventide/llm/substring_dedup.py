@@ -8,7 +8,8 @@ minimisers, so buckets see every repetition.
 First super-k-mers are compared by minimiser and a hash of their words. One whose
 minimiser occurs once holds no repeated window; if all of a minimiser's are copies of
 one, every window is repeated. Neither needs its words. Of the others one copy of each
-travels, and buckets with very many different strings are split by window.
+travels. Buckets with very many different strings are never gathered: their windows
+become 128-bit hashes, whose copies are summed with partial sums in every task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from eventide.session import materialize
 
 WINDOW = 35  # words
 SHINGLE = 5  # words of a minimiser
-HOT = 2000  # different strings of a bucket from which on it is split by window
+HOT = 2000  # different strings of a bucket from which on its windows are summed by hash
 CHUNK = 1 << 20  # bytes of text at once
 BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
 
@@ -102,47 +103,41 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked super-k-mers of each text as strings."""
+    """The asked super-k-mers of each text: whole strings, or a hash of every window in hot buckets."""
     for batch in batches:
         texts, asked = byte_texts(batch.column("text")), batch.column("asked")
         for k, text in enumerate(texts):
             words = text.split()
-            own = {c: asked[k].values.field(c) for c in ("key", "sid", "start", "n", "copies", "splits")}
-            strings = [b" ".join(words[a:a + m + WINDOW - 1])
-                       for a, m in zip(own["start"].to_pylist(), own["n"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [own["key"], own["sid"], pa.array(strings, pa.binary()), own["n"], own["copies"], own["splits"]],
-                names=["key", "sid", "packed", "n", "copies", "splits"])
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings with a place in their bucket; those of split buckets cut into windows and dealt by them."""
-    for batch in batches:
-        rows = []
-        for key, sid, packed, n, copies, splits in zip(*(batch.column(c).to_pylist() for c in (
-                "key", "sid", "packed", "n", "copies", "splits")), strict=True):
-            if splits is None:
-                rows.append((key, 0, sid, packed, n, copies, 0))
-                continue
-            words = packed.split(b" ")
-            for o in range(n):
-                window = b" ".join(words[o:o + WINDOW])
-                rows.append((key, 1 + xxhash.xxh3_64_intdigest(window) % splits, sid, window, 1, copies, o))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                    pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
-                names=["key", "sub", "sid", "packed", "n", "copies", "at"])
+            own = {c: asked[k].values.field(c).to_pylist() for c in ("key", "sid", "start", "n", "copies", "hot")}
+            rows = []
+            for key, sid, a, n, copies, hot in zip(*own.values(), strict=True):
+                if hot:
+                    rows += [(key, sid, None, 1, copies, o, xxhash.xxh3_128_digest(b" ".join(words[a + o:a + o + WINDOW])))
+                             for o in range(n)]
+                else:
+                    rows.append((key, sid, b" ".join(words[a:a + n + WINDOW - 1]), n, copies, 0, None))
+                if len(rows) >= 10_000:
+                    yield _strings(rows)
+                    rows = []
+            if rows:
+                yield _strings(rows)
+
+
+def _strings(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+            pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
+        names=["key", "sid", "packed", "n", "copies", "at", "window"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (key, sid, at, len) of windows that occur more than once in their bucket."""
     schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("at", pa.int32()), ("len", pa.int32())])
-    for run in key_runs(batches, ["key", "sub"]):
-        sids, packed, sizes, copies, base = (run.column(c).to_pylist() for c in ("sid", "packed", "n", "copies", "at"))
+    for run in key_runs(batches, ["key"]):
+        sids, packed, sizes, copies = (run.column(c).to_pylist() for c in ("sid", "packed", "n", "copies"))
         key = run.column("key")[0].as_py()
         if len(sids) == 1:  # the windows of one string all differ
-            found = [(key, sids[0], base[0], sizes[0])] if copies[0] > 1 else []
+            found = [(key, sids[0], 0, sizes[0])] if copies[0] > 1 else []
         else:
             windows = []
             for s, text in enumerate(packed):
@@ -160,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for s, mark in enumerate(marks):
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-                found += [(key, sids[s], base[s] + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                found += [(key, sids[s], int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)],
                                              schema=schema)
@@ -199,17 +194,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         "key", "sid", "copies", "f.uid", "f.start", "f.n")
     strings = materialize(strings, "strings")
     buckets = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings"))
-    splits = F.when(F.col("strings") > HOT, F.ceil(F.col("strings") / (HOT // 8)).cast("long"))
-    asked = (strings.join(buckets.where("strings > 1").select("key", splits.alias("splits")), "key")
-             .groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "start", "n", "copies", "splits")).alias("asked")))
-    packed = rows.join(asked, "uid").select("text", "asked").mapInArrow(
-        _packed, "key long, sid long, packed binary, n int, copies long, splits long")
-    dealt = packed.mapInArrow(_split, "key long, sub long, sid long, packed binary, n int, copies long, at int")
-    counted = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(
-        _count, "key long, sid long, at int, len int")
+    asked = (strings.join(buckets.where("strings > 1").select("key", (F.col("strings") > HOT).alias("hot")), "key")
+             .groupBy("uid").agg(F.collect_list(F.struct("key", "sid", "start", "n", "copies", "hot")).alias("asked")))
+    packed = materialize(rows.join(asked, "uid").select("text", "asked").mapInArrow(
+        _packed, "key long, sid long, packed binary, n int, copies long, at int, window binary"), "packed")
+    cold = packed.where("window IS NULL").select("key", "sid", "packed", "n", "copies")
+    counted = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_count, "key long, sid long, at int, len int")
+    hot = packed.where("window IS NOT NULL").select("key", "window", "sid", "at", "copies")
+    often = hot.groupBy("key", "window").agg(F.sum("copies").alias("all")).where("all > 1").select("key", "window")
+    summed = hot.join(often, ["key", "window"]).select("key", "sid", "at", F.lit(1).alias("len"))
     alone = (strings.where("copies > 1").join(buckets.where("strings = 1"), "key")
              .select("key", "sid", F.lit(0).alias("at"), F.col("n").alias("len")))
-    marks = materialize(counted.union(alone), "repeated-windows")
+    marks = materialize(counted.union(summed).union(alone), "repeated-windows")
     return shared.select("key", "sid", "uid", "start").join(marks, ["key", "sid"]).select(
         "uid", (F.col("start") + F.col("at")).alias("start"), "len")
 

@@ -82,3 +82,28 @@ def test_query_on_driver_table(spark, sf_dir):
     got = sorted(map(tuple, queries.op4_substring_dedup(spark, sf_dir).collect()), key=str)
     assert got == brute(rows)
     assert sum(r[2] for r in got) > 0
+
+
+def test_no_group_holds_a_hot_bucket(spark, monkeypatch):
+    """A passage that every document holds amid text of its own."""
+    monkeypatch.setattr(substring_dedup, "HOT", 8)
+    real = substring_dedup._count
+
+    def bounded(batches):
+        held = list(batches)
+        names = [c for c in ("key", "sub") if held and c in held[0].schema.names]
+        sizes = Counter(k for b in held for k in zip(*(b.column(c).to_pylist() for c in names)))
+        assert max(sizes.values(), default=0) <= 8
+        yield from real(iter(held))
+
+    monkeypatch.setattr(substring_dedup, "_count", bounded)
+    rng = random.Random(7)
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage = some(50)
+    rows = [(i, " ".join(some(40) + passage + some(40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, substring_dedup.substring_dedup(df).collect()), key=str)
+    assert got == brute(rows) and all(r[2] == 50 for r in got)
