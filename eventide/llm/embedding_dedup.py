@@ -188,16 +188,21 @@ def near_vectors(vectors: DataFrame, index: Index = Index(), id_col: str = "vec_
         place, f"node long, label {types['label']}, vec {types['vec']}, copies long, width int, home int, cells array<int>"), "placed")
     grid = ["label", "width", "cell"]
     base = placed.withColumn("cell", F.col("home"))
-    parts = base.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / index.part).cast("int").alias("parts"))
-    row = [*grid, "part", "node", "vec", "copies", "home"]
-    stored = base.join(parts, grid).withColumn("part", F.pmod(F.hash("node"), "parts")).select(*row, "cells")
-    probes = (placed.withColumn("cell", F.explode("cells")).join(parts, grid)
+    visiting = placed.withColumn("cell", F.explode("cells"))
+    size = F.ceil(F.count(F.lit(1)) / index.part).cast("int")
+    # both sides of a cell are dealt into parts; a group is one part of each
+    parts = base.groupBy(*grid).agg(size.alias("parts")).join(
+        visiting.select(*grid).groupBy(*grid).agg(size.alias("probe_parts")), grid)
+    row = [*grid, "part", "probe_part", "node", "vec", "copies", "home"]
+    stored = (base.join(parts, grid).withColumn("part", F.pmod(F.hash("node"), "parts"))
+              .withColumn("probe_part", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1))).select(*row, "cells"))
+    probes = (visiting.join(parts, grid).withColumn("probe_part", F.pmod(F.hash("node"), "probe_parts"))
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select(*row, F.lit(None).cast("array<int>").alias("cells")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per cell: each vector's newly linked copies, and the smallest node it is joined to here."""
-        for run in key_runs(batches, [*grid, "part"]):
+        for run in key_runs(batches, [*grid, "part", "probe_part"]):
             seen = run.column("cells").to_pylist()
             s = np.array([i for i, c in enumerate(seen) if c is not None], np.int64)
             q = np.array([i for i, c in enumerate(seen) if c is None], np.int64)
@@ -228,7 +233,8 @@ def near_vectors(vectors: DataFrame, index: Index = Index(), id_col: str = "vec_
                     [pa.array(node[hit], pa.int64()), pa.array(more[hit].astype(np.int64)), pa.array(root[hit], pa.int64())],
                     names=["node", "n", "root"])
 
-    links = materialize(stored.union(probes).repartition(*grid, "part").sortWithinPartitions(*grid, "part").mapInArrow(
+    links = materialize(stored.union(probes).repartition(*grid, "part", "probe_part").sortWithinPartitions(
+        *grid, "part", "probe_part").mapInArrow(
         compare, "node long, n long, root long"), "vector-links")
     counted = links.groupBy("node").agg(F.sum("n").alias("others"))
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")

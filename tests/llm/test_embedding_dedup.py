@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from eventide.llm import queries
+from eventide.llm import embedding_dedup, queries
 from eventide.llm.embedding_dedup import Index, cell_order, codebook, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, home int"
@@ -102,3 +102,21 @@ def test_recall_near_the_threshold(spark):
 def test_query_on_driver_table(spark, sf_dir):
     got = sorted(map(tuple, queries.op3_embedding_dedup(spark, sf_dir).collect()))
     assert got == sorted(brute(rows_of(spark, sf_dir)))
+
+
+def test_groups_of_a_hot_cell_are_bounded(spark, monkeypatch):
+    """Distinct near copies of one vector: all of them visit one cell."""
+    part, real = 50, embedding_dedup.key_runs
+
+    def bounded(batches, keys):
+        for run in real(batches, keys):
+            assert run.num_rows <= 4 * part  # two parts, dealt by hash
+            yield run
+
+    monkeypatch.setattr(embedding_dedup, "key_runs", bounded)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.03], 1, "x", 1) for i in range(600)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), Index(part=part)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+    assert max(r[1] for r in got) > 500
