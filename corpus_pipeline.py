@@ -23,6 +23,7 @@ from eventide.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 MIN_SCORE = 0.4  # a document whose largest language has less is rejected
+NEAR_PERCENT = 80  # documents of at least this similarity are near copies
 
 
 def _named(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -50,7 +51,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, near_components(docs).where("kept"))
+    return _only(docs, near_components(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ in full, but only across components; both steps keep every link that matters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -24,9 +24,9 @@ from eventide.llm.common import byte_texts, components, hash_words, key_runs, mi
 from eventide.session import materialize
 
 WIDTH = 5  # words of a shingle
-PERCENT = 85  # similarity of a link, in hundredths
+PERCENT = 85  # default similarity of a link, in hundredths
 HASHES = 80  # minimum hashes of a signature
-BAND = 4  # hashes of a band: a pair at 0.85 misses all twenty with probability 4e-7
+BAND = 4  # hashes of a band: a pair at 0.85 misses all twenty with probability 4e-7, one at 0.80 with 3e-5
 STEP = 16  # hashes compared at once
 MISS = 1e-6  # posterior below which a candidate is dropped
 PART = 512  # larger bands are compared in pairs of parts of about this size
@@ -135,22 +135,26 @@ def _sig_table(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = least_matches()
-    for batch in batches:
-        if batch.num_rows:
-            live = bayes_survivors(_sig_table(batch.column("sig_a")), _sig_table(batch.column("sig_b")), least)
-            yield batch.select(["a", "b"]).take(pa.array(live))
+def _prune(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    least = least_matches(percent)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                live = bayes_survivors(_sig_table(batch.column("sig_a")), _sig_table(batch.column("sig_b")), least)
+                yield batch.select(["a", "b"]).take(pa.array(live))
+
+    return prune
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of one band that join documents of different components.
 
     Signatures are compared first and survivors verified on the full sets; documents
     that a link has joined are not compared again, so at most one link a document
     comes out.
     """
-    least = least_matches()
+    least = least_matches(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for run in key_runs(batches, ["key", "i", "j"]):
         label, n = run.column("label").to_numpy(), run.column("n_shingles").to_numpy()
@@ -166,7 +170,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i != j and part[x] != i:
                 continue
             others = np.arange(x + 1, len(node)) if i == j else np.flatnonzero(part == j)
-            near = 100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])
+            near = 100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])
             others = others[near & (group[others] != group[x])]
             if not len(others):
                 continue
@@ -177,7 +181,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[at[edges[x]:edges[x + 1]]] = True
             both = np.array([own[at[edges[y]:edges[y + 1]]].sum() for y in others])
             joined = []
-            for y in others[100 * both >= PERCENT * (n[x] + n[others] - both)]:
+            for y in others[100 * both >= percent * (n[x] + n[others] - both)]:
                 if group[y] != group[x]:
                     group[group == group[y]] = group[x]
                     joined.append(y)
@@ -201,13 +205,13 @@ def _fetch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], schema=schema)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -217,19 +221,19 @@ def fetch(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(reps, "doc_id").select("node", "text").mapInArrow(_fetch_sets, "node long, shingles binary")
 
 
-def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = fetch(docs, nodes, asked)
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-            .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
+            .select("a", "b", "set_a", "set_b").mapInArrow(lambda rows: _confirm(rows, percent), "a long, b long"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Links are pairs with ``100 * intersection >= 85 * union`` of their shingle sets;
+    Links are pairs with ``100 * intersection >= percent * union`` of their shingle sets;
     a component is named by its smallest id, whose row is the one kept. Null and
     empty texts have no shingles and stay alone, and so does a row without an id
     (its component is null, and it is kept). Rows that repeat an id stay rows of
@@ -249,9 +253,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = nodes.select("node", "n_shingles", "sig")
     first = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     near = (first.join(sized.toDF("a", "n_a", "sig_a"), "a").join(sized.toDF("b", "n_b", "sig_b"), "b")
-            .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
-    pairs = materialize(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune, "a long, b long"), "pairs")
-    links = materialize(verify(docs, nodes, pairs), "links")
+            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    pairs = materialize(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent), "a long, b long"), "pairs")
+    links = materialize(verify(docs, nodes, pairs, percent), "links")
     labels = components(links, "near")
 
     # what a centre did not join: only pairs of one band in different components are left
@@ -266,7 +270,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")))
     more = materialize(
         apart.select("key", "i", "j", "node", "label", "part", "n_shingles", "sig", "shingles").repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct(), "late-links")
+        .sortWithinPartitions("key", "i", "j").mapInArrow(lambda rows: _across(rows, percent), "a long, b long").distinct(), "late-links")
     if not more.isEmpty():
         labels = components(links.union(more), "near")
 

@@ -104,3 +104,18 @@ def test_token_stage_round_trip(stages):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_links_from_four_fifths_on(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for g in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]  # 100 shingles
+        for k, tail in enumerate((0, 9, 10, 11, 12)):  # the last words changed: Jaccard 1, 0.835, 0.818, 0.802, 0.786
+            copy = base[:104 - tail] + [f"x{g}_{k}_{i}" for i in range(tail)]
+            rows.append((10 * g + k, " ".join(copy), "aa", "s1", 1))
+            if k in (0, 4):
+                want.add(10 * g + k)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert all(0.8 <= jaccard(rows[5 * g][1], rows[5 * g + k][1]) < 0.85 for g in range(20) for k in (1, 2, 3))
+    assert {r.doc_id for r in pipeline.near_stage(spark, docs, "unused").collect()} == want
