@@ -22,7 +22,6 @@ from eventide.llm.letters import chunks, gram_buckets, letters
 BITS = 16
 SMOOTH = 0.05  # added to every bucket's count
 PENALTY = 3.0  # per further language, times the log of the number of words
-MOST = 4  # languages of one document at most in the nested sets
 ROUNDS = 8
 MAX_LANGUAGES = 512  # a model of more would not fit beside the data; fitting then fails
 UNDETERMINED = "und"
@@ -80,9 +79,12 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def mixtures(word_logs: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
-             most: int = MOST, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+             most: int | None = None, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each document and a score of the largest one.
 
+    Nested sets grow until none of more languages can reach a better penalised
+    likelihood in any of the documents, by a bound on the likelihood of all mixtures; ``most`` ends them earlier.
+
     ``word_logs``: log likelihood of each word under each language; documents are
     the runs of ``sizes`` words beginning at ``starts``.
     """
@@ -112,7 +114,14 @@ def mixtures(word_logs: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
     level = single[np.arange(docs), best]
     full, _ = em(np.full((docs, langs), 1.0 / langs, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    for k in range(2, min(most, langs) + 1):
+    # log likelihood is concave: no mixture exceeds that of ``full`` by more than its gradient allows
+    total = (like * full[doc_of]).sum(axis=1)
+    slope = _sums(like / total[:, None], starts).max(axis=1) / sizes
+    top = _sums(np.log(total), starts) + sizes * np.log(np.maximum(slope, 1.0))
+    top = np.minimum(top + 1e-4 * (1.0 + np.abs(top)), 0.0)
+    for k in range(2, min(most or langs, langs) + 1):
+        if (top - penalty * (k - 1) * np.log(sizes + 1.0) <= level).all():
+            break
         part = np.where(rank < k, np.maximum(full, 1e-6), 0.0).astype(np.float32)
         part, reached = em(part / part.sum(axis=1, keepdims=True), 3)
         better = reached - penalty * (k - 1) * np.log(sizes + 1.0) > level

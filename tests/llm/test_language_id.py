@@ -61,3 +61,13 @@ def test_query_accuracy_and_held_out(spark, sf_dir):
     assert len(got) == len(docs)
     assert (both.held_out == both.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
     assert (both[both.held_out].lang_pred == both[both.held_out].lang).mean() >= 0.95
+
+
+def test_six_languages_of_one_document():
+    rng = np.random.default_rng(2)
+    own = np.concatenate([rng.permutation(np.repeat(np.arange(6), 100)), np.zeros(50, np.int64), np.repeat([6, 7], 40)])
+    logs = np.full((len(own), 9), -12.0, np.float32)
+    logs[np.arange(len(own)), own] = -1.0
+    shares, score = mixtures(logs, np.array([0, 600, 650]), np.array([600, 50, 80]))
+    assert [np.flatnonzero(s > 0.005).tolist() for s in shares] == [[0, 1, 2, 3, 4, 5], [0], [6, 7]]
+    assert np.allclose(score[[0, 2]], [1 / 6, 1 / 2], atol=0.01)
