@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.session import materialize
@@ -25,6 +25,28 @@ def held_out(doc_id: Column, mod: int, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "numbered") -> DataFrame:
+    """Rows with ``pos`` (long, from 0, by ``order`` among equal ``group``) and ``size`` (rows of the group).
+
+    The rows are sorted by ranges of group and order, so a group of any size is dealt over as
+    many tasks as it needs, and rows that are equal in all of these by a stored random number.
+    Only the number of rows of each (group, range) is summed along a group. Group columns must
+    not be null; nulls of the order come first.
+    """
+    keys = [*group, *order, "_salt"]
+    salted = materialize(rows.withColumn("_salt", F.rand()), f"{name}-salted")
+    placed = materialize(salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
+                         .withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    along = Window.partitionBy(*group)
+    before = along.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+              .select(*group, "_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+                      F.sum("_rows").over(along).alias("size")))
+    return (placed.join(starts, [*group, "_range"]).withColumn("pos", F.col("_at") + F.col("_shift"))
+            .select(*rows.columns, "pos", "size"))
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column, nulls as empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
