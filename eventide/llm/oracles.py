@@ -71,3 +71,70 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 {_COMPONENTS}
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(label, d.doc_id) AS component_id, coalesce(label, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN comp ON node = d.doc_id"""
+
+
+def _crc32(number: str) -> str:
+    """CRC-32 of an integer's decimal digits, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: {step})"
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, c: {byte}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes of trees over leaves (tree, pos, n, h), and the siblings of each leaf's ancestors."""
+    return f"""
+{name} AS (SELECT tree, 0 AS lvl, pos, n, h FROM {leaves} UNION ALL
+  SELECT tree, lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+{name}_steps AS (SELECT l.tree, l.pos, s.lvl,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos < l.pos // (3 ** s.lvl)::BIGINT), '') AS before,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos > l.pos // (3 ** s.lvl)::BIGINT), '') AS after
+  FROM {leaves} l JOIN {name} s ON s.tree = l.tree AND s.n > 1 AND s.pos // 3 = l.pos // (3 ** (s.lvl + 1))::BIGINT GROUP BY ALL)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT *, {_leaf('text')} AS leaf,
+    CASE WHEN {_crc32('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS bent FROM documents),
+leaves AS (SELECT coalesce('=' || source, '') AS tree, doc_id, leaf, leaf AS h, bent, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+{_tree('low', 'leaves')},
+subroots AS (SELECT 'all' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree('top', 'subroots')},
+steps AS (SELECT tree, pos, lvl AS at, before, after FROM low_steps UNION ALL
+  SELECT l.tree, l.pos, 100 + t.lvl, t.before, t.after FROM leaves l JOIN subroots s ON s.source = l.tree JOIN top_steps t ON t.pos = s.pos),
+way AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY at) AS i FROM steps),
+proof AS (SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY i)) AS proof FROM way GROUP BY 1, 2),
+fold AS (SELECT tree, pos, 0 AS i, bent AS h FROM leaves UNION ALL
+  SELECT w.tree, w.pos, w.i, sha256(w.before || f.h || w.after) FROM fold f JOIN way w ON w.tree = f.tree AND w.pos = f.pos AND w.i = f.i + 1),
+ends AS (SELECT tree, pos, arg_max(h, i) AS folded_root FROM fold GROUP BY 1, 2),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON s.source = l.tree JOIN ends USING (tree, pos) LEFT JOIN proof USING (tree, pos), root"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, sha256(strlen(role) || ':' || role || text) AS name, strlen(text) AS bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS i FROM t),
+c AS (SELECT conv_id, {_crc32('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, i, name, bytes FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, name, bytes FROM c JOIN o USING (conv_id) WHERE i > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, bytes, sha256(string_agg(name, '') OVER w) AS node FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above, max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, (count(*) - 1) * max(bytes) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends = depth), '')) AS ends_sha256 FROM q GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, node)),
+s AS (SELECT q.depth, q.node, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, sum(x.saved) AS saved_tokens
+  FROM x JOIN q ON q.conv_id = x.conv_id AND q.depth <= x.depth GROUP BY 1, 2)
+SELECT x.conv_id::BIGINT AS conv_id, x.depth::BIGINT AS depth, up.conv_id::BIGINT AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN s USING (depth, node) LEFT JOIN n up ON up.depth = x.depth - 1 AND up.node = x.above"""

@@ -12,9 +12,12 @@ from eventide.llm import (
     exact_dedup,
     katz,
     language_id,
+    merkle,
     mixing,
     near_dedup,
     oracles,
+    packing,
+    prefix_trie,
     secret_scan,
     substring_dedup,
     toxicity,
@@ -62,6 +65,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +99,6 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.PASSAGES,
     "op9_near_dedup": oracles.NEAR,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_prefix_trie": oracles.TRIE,
 }
