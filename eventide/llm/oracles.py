@@ -108,9 +108,9 @@ leaves AS (SELECT coalesce('=' || source, '') AS tree, doc_id, leaf, leaf AS h,
 {_tree('low', 'leaves')},
 subroots AS (SELECT 'all' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
 {_tree('top', 'subroots')},
-steps AS (SELECT tree, pos, lvl AS at, before, after FROM low_steps UNION ALL
+steps AS (SELECT tree, pos, lvl AS seq, before, after FROM low_steps UNION ALL
   SELECT l.tree, l.pos, 100 + t.lvl, t.before, t.after FROM leaves l JOIN subroots s ON s.source = l.tree JOIN top_steps t ON t.pos = s.pos),
-way AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY at) AS i FROM steps),
+way AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY seq) AS i FROM steps),
 proof AS (SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY i)) AS proof FROM way GROUP BY 1, 2),
 fold AS (SELECT tree, pos, 0 AS i, bent AS h FROM leaves UNION ALL
   SELECT w.tree, w.pos, w.i, sha256(w.before || f.h || w.after) FROM fold f JOIN way w ON w.tree = f.tree AND w.pos = f.pos AND w.i = f.i + 1),
