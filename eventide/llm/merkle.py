@@ -147,9 +147,8 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None, fields: tup
 
 def proofs(manifest: Manifest) -> DataFrame:
     """Per leaf: slot (digest, id, bent), subroot, and the way: what stands before and after it, level by level to the root."""
-    spark = manifest.names.sparkSession
     nothing = F.from_json(F.lit("[]"), f"array<{STEP}>")
-    start = spark.range(1).select(F.lit("").alias("key"), F.lit(b"").alias("subroot"), nothing.alias("way"))
+    start = manifest.top.roots().select("key", F.lit(b"").alias("subroot"), nothing.alias("way"))
     sources = (ways(manifest.top, start).select(F.col("slot.id").alias("id"), "way").join(manifest.names, "id")
                .select(F.col("name").alias("key"), F.col("digest").alias("subroot"), "way"))
     return ways(manifest.sources, materialize(sources, "merkle-sources")).select("slot", "subroot", "way")

@@ -117,7 +117,8 @@ fold AS (SELECT tree, pos, 0 AS i, bent AS h FROM leaves UNION ALL
 ends AS (SELECT tree, pos, arg_max(h, i) AS folded_root FROM fold GROUP BY 1, 2),
 root AS (SELECT h AS root FROM top WHERE n = 1)
 SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
-FROM leaves l JOIN subroots s ON s.source = l.tree JOIN ends USING (tree, pos) LEFT JOIN proof USING (tree, pos), root"""
+FROM leaves l JOIN subroots s ON s.source = l.tree JOIN ends e ON e.tree = l.tree AND e.pos = l.pos
+LEFT JOIN proof p ON p.tree = l.tree AND p.pos = l.pos CROSS JOIN root"""
 
 TRIE = f"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
