@@ -22,6 +22,7 @@ from eventide.llm.common import numbered
 from eventide.session import materialize
 
 FANOUT = 3
+CUT = 4  # levels that go down in one plan
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = "struct<before:binary,after:binary>"
 
@@ -105,13 +106,15 @@ def ways(tree: Tree, from_roots: DataFrame) -> DataFrame:
         return level.where("size = 1").join(from_roots, "key")
 
     known = None
-    for level in reversed(tree.levels):
+    for i, level in enumerate(reversed(tree.levels), 1):
         here = ends(level).select("key", "pos", "subroot", "way")
         known = here if known is None else known.drop("slot").union(here)
         known = (known.join(level.drop("size", "digest"), ["key", "pos"])
                  .select("key", "pos", "subroot", "way", F.explode(_children(tree.fanout)).alias("c"))
                  .select("key", (F.col("pos") * tree.fanout + F.col("c.at")).alias("pos"), "subroot",
                          F.concat(F.array(F.col("c.step")), F.col("way")).alias("way"), F.col("c.slot").alias("slot")))
+        if i % CUT == 0 and i < len(tree.levels):
+            known = materialize(known, "merkle-ways")
     lone = ends(tree.leaves).select("key", "pos", "subroot", "way", "slot")
     return lone if known is None else known.union(lone)
 

@@ -23,11 +23,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import numbered
-from eventide.session import materialize
+from eventide.session import materialize, scratch_path
 
 BLOCK = 4096  # depths of a conversation, or members of a node, that may meet in one group
 SHARE = 1000  # a node with one in so many of all nodes as children is joined by a broadcast
@@ -80,11 +80,18 @@ def plain(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             found.where("pos = 0").select("conv", F.col("size").alias("length")))
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.union(more)
-    return out
+class Rounds:
+    """A table that rounds add rows to: one folder, a part of it per round."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.path, self.schema, self.rounds = spark, scratch_path(spark, name), schema, 0
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/round={self.rounds}")
+        self.rounds += 1
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
 
 
 def prefixes(paths: DataFrame, lengths: DataFrame, rounds: int) -> DataFrame:
@@ -98,14 +105,14 @@ def prefixes(paths: DataFrame, lengths: DataFrame, rounds: int) -> DataFrame:
             .agg(first.alias("first"), last.alias("last"), F.max(F.when(odd, F.col("bytes"))).alias("bytes"))
             .where("first IS NOT NULL AND last IS NOT NULL").select("conv", "j", _named(F.col("first"), F.col("last")).alias("name"), "bytes"),
             "runs"))
-    named = [lengths.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(b"").alias("node"), F.lit(0).cast("long").alias("bytes"))]
+    named = Rounds(paths.sparkSession, "prefixes", "conv long, depth long, node binary, bytes long")
+    named.add(lengths.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(b"").alias("node"), F.lit(0).cast("long").alias("bytes")))
     for r in range(rounds - 1, -1, -1):
-        starts = _union(named).select("conv", F.col("depth").alias("start"), "node")
+        starts = named.rows().select("conv", F.col("depth").alias("start"), "node")
         cut = runs[r].where("j % 2 = 0").select("conv", (F.col("j") * (1 << r)).alias("start"), "name", "bytes")
-        named.append(materialize(
-            cut.join(starts, ["conv", "start"])
-            .select("conv", (F.col("start") + (1 << r)).alias("depth"), _named(F.col("node"), F.col("name")).alias("node"), "bytes"), "prefixes"))
-    return _union(named)
+        named.add(cut.join(starts, ["conv", "start"])
+                  .select("conv", (F.col("start") + (1 << r)).alias("depth"), _named(F.col("node"), F.col("name")).alias("node"), "bytes"))
+    return named.rows()
 
 
 def totals(nodes: DataFrame, members: DataFrame, rounds: int) -> DataFrame:
@@ -114,19 +121,20 @@ def totals(nodes: DataFrame, members: DataFrame, rounds: int) -> DataFrame:
     ``nodes`` has depth, node, conv (a member), leaf and saved of every node; ``members`` is the
     table of prefixes, which says what lies above a node on its member's path.
     """
-    given = [nodes.select("depth", "node", F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens"))]
+    given = Rounds(nodes.sparkSession, "grafts", "depth long, node binary, n_leaves long, saved_tokens long")
+    given.add(nodes.select("depth", "node", F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens")))
     sums = [F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")]
     for r in range(rounds):
         half, block = 1 << r, min(1 << r, BLOCK)
         lower = F.col("depth") % (2 * half) == half
-        roots = _union([g.where(lower) for g in given]).groupBy("depth", "node").agg(*sums)
+        roots = given.rows().where(lower).groupBy("depth", "node").agg(*sums)
         above = (roots.join(nodes.where(lower).select("depth", "node", "conv"), ["depth", "node"])
                  .select("conv", "n_leaves", "saved_tokens", F.explode(F.sequence(
                      F.expr(f"(depth - {half}) div {block}"), F.expr(f"(depth - 1) div {block}"))).alias("block")))
         on_path = (members.where(F.col("depth") % (2 * half) < half)
                    .select("conv", F.expr(f"depth div {block}").alias("block"), "depth", "node"))
-        given.append(materialize(on_path.join(above, ["conv", "block"]).groupBy("depth", "node").agg(*sums), "grafts"))
-    return _union(given).groupBy("depth", "node").agg(*sums)
+        given.add(on_path.join(above, ["conv", "block"]).groupBy("depth", "node").agg(*sums))
+    return given.rows().groupBy("depth", "node").agg(*sums)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +201,10 @@ def prefix_trie(paths: DataFrame, lengths: DataFrame) -> DataFrame:
         nodes.join(kids, ["depth", "node"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
         .withColumn("leaf", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"))
         .withColumn("saved", (F.col("n_convs") - 1) * F.col("bytes")).drop("bytes"), "nodes")
-    ends = member_digests(members.join(lengths.select("conv", F.col("length").alias("depth")), ["conv", "depth"]))
+    ends = materialize(member_digests(members.join(lengths.select("conv", F.col("length").alias("depth")), ["conv", "depth"])), "ends")
+    summed = materialize(totals(nodes, members, rounds), "totals")
     keys = ["depth", "node"]
-    return (with_parents(nodes).join(totals(nodes, members, rounds), keys).join(ends, keys, "left").select(
+    return (materialize(with_parents(nodes), "parents").join(summed, keys).join(ends, keys, "left").select(
         F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("digest", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"), F.lower(F.hex("node")).alias("node")))
 
