@@ -84,17 +84,17 @@ def diagnostics_rollup(spark, d):
 @query("top_vs_random", Q.with_(PRED, f"""
 , pos AS (SELECT * FROM pr WHERE sig > 0),
 mo AS (SELECT avg(m) AS model_mean FROM (SELECT en, avg(ret) AS m FROM (
-  SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY en ORDER BY sig DESC, sid) <= 5) GROUP BY 1)),
+  SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY en ORDER BY sig DESC, sid) <= 50) GROUP BY 1)),
 tr AS (SELECT trial, avg(m) AS m FROM (SELECT trial, en, avg(ret) AS m FROM (
   SELECT pos.*, trial FROM pos, range(1, 26) t(trial)
-  QUALIFY row_number() OVER (PARTITION BY trial, en ORDER BY sha1('42|' || trial::VARCHAR || '|' || sid), sid) <= 5) GROUP BY 1, 2) GROUP BY 1)
+  QUALIFY row_number() OVER (PARTITION BY trial, en ORDER BY sha1('42|' || trial::VARCHAR || '|' || sid), sid) <= 50) GROUP BY 1, 2) GROUP BY 1)
 SELECT {r('model_mean')} AS model_mean, {r('avg(m)')} AS random_mean, {r('model_mean - avg(m)')} AS spread,
-  {r('(model_mean - avg(m)) / greatest(stddev_samp(m) / sqrt(count(*)), 1e-12)')} AS model_t_stat, count(*)::BIGINT AS n_trials
+  {r('(model_mean - avg(m)) / greatest(stddev_samp(m) / sqrt(count(*)), 1e-12)', 3)} AS model_t_stat, count(*)::BIGINT AS n_trials
 FROM tr, mo GROUP BY model_mean"""))
 def top_vs_random(spark, d):
-    o = D.top_vs_random(_preds(spark, d), n=5)
+    o = D.top_vs_random(_preds(spark, d))
     return o.select(num("model_mean").alias("model_mean"), num("random_mean").alias("random_mean"),
-                    num("spread").alias("spread"), num("model_t_stat").alias("model_t_stat"),
+                    num("spread").alias("spread"), num("model_t_stat", 3).alias("model_t_stat"),
                     big("n_trials").alias("n_trials"))
 
 

@@ -268,7 +268,7 @@ SELECT item, {r('value')} AS value FROM (
 def cycle_digest(spark, d):
     f = V.filings(spark, d)
     state = inc.latest_per_entity(f, "internal_company_id", "accepted_datetime").select(
-        "internal_company_id", F.least("latest", F.lit("2001-01-01").cast("timestamp")).alias("latest"))
+        "internal_company_id", F.least("latest", V.eastern_mark("2001-01-01")).alias("latest"))
     new = inc.new_events(f, state, "internal_company_id", "accepted_datetime")
     scores = V.predictions(spark, d, "region").where(F.col("split") == "test")
     return inc.digest(new, scores, V.table(spark, d, "customer")).select("item", num("value").alias("value"))

@@ -177,13 +177,12 @@ def strategy_decision(spark, d):
 
 
 @query("drawdown_episodes", accounted(f"""
-SELECT p AS portfolio, ep::BIGINT AS episode, coalesce(min(date) FILTER (WHERE dd >= 0)::VARCHAR, '') AS peak_date, arg_min(date, dd)::VARCHAR AS trough_date,
-  coalesce(last(nx ORDER BY date)::VARCHAR, '') AS recovery_date, {r('min(dd)')} AS depth, count(*) FILTER (WHERE dd < 0)::BIGINT AS days_below
-FROM (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY p ORDER BY date) AS ep, lead(date) OVER (PARTITION BY p ORDER BY date) AS nx FROM ddn)
-WHERE p IN ('strategy', 'spy') GROUP BY 1, 2 HAVING min(dd) < -1e-9""", PERF))
+SELECT p AS portfolio, ep::BIGINT AS episode, coalesce(min(date) FILTER (WHERE dd >= -1e-9)::VARCHAR, '') AS peak_date, arg_min(date, dd)::VARCHAR AS trough_date,
+  coalesce(last(nx ORDER BY date)::VARCHAR, '') AS recovery_date, {r('min(dd)')} AS depth, count(*) FILTER (WHERE dd < -1e-9)::BIGINT AS days_below
+FROM (SELECT *, sum((dd >= -1e-9)::INT) OVER (PARTITION BY p ORDER BY date) AS ep, lead(date) OVER (PARTITION BY p ORDER BY date) AS nx FROM ddn)
+GROUP BY 1, 2 HAVING min(dd) < -1e-9""", PERF))
 def drawdown_episodes(spark, d):
-    rows = V.all_returns(spark, d).where(F.col("portfolio").isin("strategy", "spy"))
-    e = P.drawdown_episodes(rows, "ret", ["portfolio"]).where(F.col("depth") < -1e-9)
+    e = P.drawdown_episodes(V.all_returns(spark, d), "ret", ["portfolio"])
     blank = lambda c: F.coalesce(day(c), F.lit("")).alias(c)
     return e.select("portfolio", big("episode").alias("episode"), blank("peak_date"),
                     day("trough_date").alias("trough_date"), blank("recovery_date"),
@@ -193,22 +192,22 @@ def drawdown_episodes(spark, d):
 def _versus(spark, d):
     rows = V.all_returns(spark, d)
     b = rows.where(F.col("portfolio") == "equal_weight").select("date", F.col("ret").alias("bench"))
-    return rows.where(F.col("portfolio").isin("strategy", "inverse_vol")).join(b, "date")
+    return rows.join(b, "date")
 
 
 @query("rolling_excess", accounted(f"""
-SELECT a.p AS portfolio, a.date::VARCHAR AS date, {r('CASE WHEN count(*) OVER w = 252 THEN exp(sum(ln(1 + a.ret)) OVER w) - exp(sum(ln(1 + b.ret)) OVER w) END')} AS rolling_excess
-FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight' WHERE a.p IN ('strategy', 'inverse_vol')
+SELECT a.p AS portfolio, a.date::VARCHAR AS date, {r('CASE WHEN count(*) OVER w = 252 THEN exp(sum(ln(1 + a.ret)) OVER w) - exp(sum(ln(1 + b.ret)) OVER w) END', 4)} AS rolling_excess
+FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight'
 WINDOW w AS (PARTITION BY a.p ORDER BY a.date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""", BENCH))
 def rolling_excess(spark, d):
     e = P.rolling_excess(_versus(spark, d), "ret", "bench", ["portfolio"])
-    return e.select("portfolio", day("date").alias("date"), num("rolling_excess").alias("rolling_excess"))
+    return e.select("portfolio", day("date").alias("date"), num("rolling_excess", 4).alias("rolling_excess"))
 
 
 @query("monthly_hit_rate", accounted(f"""
 SELECT p AS portfolio, {r('avg((x > y)::INT)')} AS hit_rate, count(*)::BIGINT AS months FROM (
   SELECT a.p, date_trunc('month', a.date) AS m, sum(ln(1 + a.ret)) AS x, sum(ln(1 + b.ret)) AS y
-  FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight' WHERE a.p IN ('strategy', 'inverse_vol') GROUP BY 1, 2) GROUP BY 1""", BENCH))
+  FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight' GROUP BY 1, 2) GROUP BY 1""", BENCH))
 def monthly_hit_rate(spark, d):
     h = P.monthly_hit_rate(_versus(spark, d), "ret", "bench", ["portfolio"])
     return h.select("portfolio", num("hit_rate").alias("hit_rate"), big("months").alias("months"))

@@ -177,7 +177,7 @@ SELECT off, fid, quantile_cont(sl, 0.5) AS med, quantile_cont(sl, 0.75) - quanti
   SELECT *, sign(val) * ln(1 + abs(val)) AS sl FROM cell_{_k} WHERE split = 'train') GROUP BY 1, 2""")
     fragment(f"sca_{_k}", f"""
 SELECT c.*, least(greatest((sign(val) * ln(1 + abs(val)) - coalesce(med, 0))
-  / CASE WHEN iqr > 0 THEN iqr ELSE 1e-6 END, -10), 10) AS sval
+  / CASE WHEN iqr > 1e-9 * greatest(1, abs(coalesce(med, 0))) THEN iqr ELSE 1e-6 END, -10), 10) AS sval
 FROM cell_{_k} c LEFT JOIN stat_{_k} s ON s.off = c.off AND s.fid = c.fid""")
 
 

@@ -40,6 +40,12 @@ def eastern_wall(column: str) -> Column:
                               F.col(column).cast("timestamp_ntz")).cast("timestamp")
 
 
+def eastern_mark(text: str) -> Column:
+    """The instant at which New York clocks show a literal date and time."""
+    return F.convert_timezone(F.lit("America/New_York"), F.current_timezone(),
+                              F.lit(text).cast("timestamp_ntz")).cast("timestamp")
+
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 

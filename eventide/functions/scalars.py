@@ -113,8 +113,11 @@ def signed_log(x: Column | str) -> Column:
 
 def robust_scaled(x: Column, median: Column, iqr: Column, *, lo: float = -10.0,
                   hi: float = 10.0, floor: float = 1e-6) -> Column:
-    """(x - median) / IQR with a floor on the spread, clipped; missing becomes 0."""
-    spread = F.when(iqr > 0, iqr).otherwise(F.lit(floor))
+    """(x - median) / IQR with a floor on the spread, clipped; missing becomes 0.
+
+    A spread below 1e-9 of the median's size (of 1, if that is smaller) is rounding and counts as none.
+    """
+    spread = F.when(iqr > 1e-9 * F.greatest(F.lit(1.0), F.abs(median)), iqr).otherwise(F.lit(floor))
     return F.coalesce(clip((x - median) / spread, lo, hi), F.lit(0.0))
 
 

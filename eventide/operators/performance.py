@@ -41,23 +41,24 @@ def performance_summary(returns: DataFrame, by: list[str], ret: str = "ret",
             .withColumn("calmar", ratio(ar, F.abs("max_drawdown"))).drop("_down"))
 
 
-def drawdown_episodes(returns: DataFrame, ret: str, by: list[str]) -> DataFrame:
+def drawdown_episodes(returns: DataFrame, ret: str, by: list[str], noise: float = 1e-9) -> DataFrame:
     """Peak, trough, recovery, depth and durations of every drawdown below the running high.
 
     An episode starts at a high and lasts until the next one; it is numbered by
-    the highs seen so far.
+    the highs seen so far. A day within ``noise`` of the high, the size of rounding in
+    compounded returns, is at the high.
     """
     w = R.series(by, "date")
     path = with_drawdown(returns, ret, by).withColumn(
-        "_ep", F.sum(F.when(F.col("drawdown") >= 0, 1).otherwise(0)).over(w))
+        "_ep", F.sum(F.when(F.col("drawdown") >= -noise, 1).otherwise(0)).over(w))
     path = path.withColumn("_next", F.lead("date").over(w))
-    below = F.col("drawdown") < 0
+    below = F.col("drawdown") < -noise
     out = path.groupBy(*by, "_ep").agg(
         F.min(F.when(~below, F.col("date"))).alias("peak_date"),
         F.min_by("date", "drawdown").alias("trough_date"), F.min("drawdown").alias("depth"),
         F.max_by(F.struct(F.col("_next").alias("d")), "date").alias("_end"),
         F.count(F.when(below, 1)).alias("days_below"))
-    return (out.where(F.col("depth") < 0)
+    return (out.where(F.col("depth") < -noise)
             .select(*by, F.col("_ep").alias("episode"), "peak_date", "trough_date",
                     F.col("_end.d").alias("recovery_date"), "depth", "days_below"))
 
