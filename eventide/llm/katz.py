@@ -29,7 +29,6 @@ from eventide.session import materialize
 ORDER = 2
 CUT = 5  # counts above it are not discounted
 BLOCK = 800_000  # tokens of a block, unless one text has more
-MOST_BUCKETS = 2000
 CHUNK = 1 << 20  # bytes of text at once
 START = np.uint64(0x5BF0363DB3C4A6D1)  # stands before a text
 END = np.uint64(0x1B873593CC9E2D51)  # the token after it
@@ -112,10 +111,6 @@ class Block:
         return Grams(keys, of_token, first, state[first])
 
 
-def _row(batch: pa.RecordBatch, k: int) -> dict:
-    return {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-
-
 def exchange(blocks: DataFrame, buckets: int, send: Callable[[dict], tuple[np.ndarray, list[np.ndarray]]],
              combine: Callable[[np.ndarray, int, list[np.ndarray]], tuple[list[np.ndarray], np.ndarray]],
              kinds: tuple[type, ...], name: str) -> DataFrame:
@@ -127,19 +122,17 @@ def exchange(blocks: DataFrame, buckets: int, send: Callable[[dict], tuple[np.nd
     and the ``sums`` per bucket.
     """
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = _row(batch, k)
-                keys, values = send(row)
-                bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-                for a, b in zip(edges, np.append(edges[1:], len(keys)), strict=True):
-                    own = keys[a:b].copy()
-                    own[1:] = np.diff(keys[a:b])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[a])], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_shrink(own)], pa.binary()),
-                         pa.array([[_shrink(v[a:b].copy()) for v in values]], pa.list_(pa.binary()))],
-                        names=["bucket", "block", "keys", "data"])
+        for row in _answered_blocks(batches):
+            keys, values = send(row)
+            bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+            for a, b in zip(edges, np.append(edges[1:], len(keys)), strict=True):
+                own = keys[a:b].copy()
+                own[1:] = np.diff(keys[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[a])], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_shrink(own)], pa.binary()),
+                     pa.array([[_shrink(v[a:b].copy()) for v in values]], pa.list_(pa.binary()))],
+                    names=["bucket", "block", "keys", "data"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
@@ -226,8 +219,8 @@ def summary(table: DataFrame) -> Order:
 
 
 def _answer(row: dict, name: str, value: int, kind: type) -> np.ndarray:
-    parts = sorted(row[name], key=lambda x: x["bucket"])
-    return np.concatenate([_grow(x["answer"][value], kind) for x in parts]) if parts else np.empty(0, kind)
+    parts = row.get(name, {}).get(value)
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def probabilities(block: Block, row: dict, orders: list[Order], upto: int) -> tuple[Grams, np.ndarray]:
@@ -245,11 +238,41 @@ def probabilities(block: Block, row: dict, orders: list[Order], upto: int) -> tu
     return grams, np.where(count > 0, kept / np.maximum(whole, 1), weight * below[lower.of_token[grams.first]])
 
 
+HELD = ["doc_ids", "held", "sizes", "places", "words"]  # what a block's own row has
+
+
 def _with_answers(blocks: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of blocks and of the answers to them, a block's own first and the answers by table and bucket.
+
+    They stay rows of bounded size, which a task reads one after the other; no block's answers
+    are gathered into a value.
+    """
+    rows = blocks.select("block", F.lit("").alias("kind"), F.lit(-1).cast("long").alias("bucket"),
+                         F.lit(None).cast("array<binary>").alias("answer"), *HELD)
+    own = dict(blocks.dtypes)
     for name, table in tables.items():
-        grouped = table.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
-        blocks = blocks.join(grouped, "block", "left")
-    return blocks
+        rows = rows.union(table.where("block IS NOT NULL").select(
+            "block", F.lit(name), "bucket", "answer", *(F.lit(None).cast(own[c]) for c in HELD)))
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket") if tables else rows
+
+
+def _answered_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A block's row with the decoded answers of each table, piece by piece: table -> value -> arrays."""
+    row: dict = {}
+    for batch in batches:
+        names, kinds = batch.column("block").to_pylist(), batch.column("kind").to_pylist()
+        for k, (name, kind) in enumerate(zip(names, kinds, strict=True)):
+            if not kind:
+                if row:
+                    yield row
+                row = {c: batch.column(c)[k].as_py() for c in HELD} | {"block": name}
+                continue
+            pieces = row.setdefault(kind, {})
+            for value, data in enumerate(batch.column("answer")[k].values):
+                form = np.int64 if kind.startswith("count") else np.float64
+                pieces.setdefault(value, []).append(_grow(data.as_buffer(), form))
+    if row:
+        yield row
 
 
 def score_texts(docs: DataFrame, held: str = "held", order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +289,7 @@ def score_texts(docs: DataFrame, held: str = "held", order: int = ORDER, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(held).alias("held"))
     blocks = materialize(rows.mapInArrow(_blocks, "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, "
                                                   "places binary, words binary"), "katz-blocks")
-    buckets = max(1, min(MOST_BUCKETS, blocks.count()))
+    buckets = max(1, blocks.count())  # a bucket has about as many entries as a block, however many there are
     tables: dict[str, DataFrame] = {}
     orders: list[Order] = []
 
@@ -276,7 +299,7 @@ def score_texts(docs: DataFrame, held: str = "held", order: int = ORDER, id_col:
             grams = block.grams(k)
             return grams.keys, [np.bincount(grams.of_token, block.learned, len(grams.keys)).astype(np.int32)]
 
-        tables[f"count{k}"] = exchange(blocks, buckets, send_counts, _count, (np.int32,), f"katz-count{k}")
+        tables[f"count{k}"] = exchange(_with_answers(blocks, {}), buckets, send_counts, _count, (np.int32,), f"katz-count{k}")
         orders.append(summary(tables[f"count{k}"]))
         if k > 1:
             def send_histories(row: dict, k: int = k, known: tuple[Order, ...] = tuple(orders)) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -295,20 +318,18 @@ def score_texts(docs: DataFrame, held: str = "held", order: int = ORDER, id_col:
     known = tuple(orders)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = _row(batch, k)
-                block = Block(row)
-                grams, probability = probabilities(block, row, list(known), order)
-                words = block.grams(1)
-                count = (_answer(row, "count1", 0, np.int64) >> 1)[words.of_token]
-                plain = np.log10((count + 1) / (known[0].tokens + known[0].types + 1))
-                sums = [np.add.reduceat(x, block.starts) for x in (plain, np.log10(probability)[grams.of_token])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.sizes, pa.int64()),
-                     pa.array(np.add.reduceat((count > 0).astype(np.int64), block.starts)),
-                     pa.array(np.full(len(block.sizes), known[0].tokens)), *map(pa.array, sums)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _answered_blocks(batches):
+            block = Block(row)
+            grams, probability = probabilities(block, row, list(known), order)
+            words = block.grams(1)
+            count = (_answer(row, "count1", 0, np.int64) >> 1)[words.of_token]
+            plain = np.log10((count + 1) / (known[0].tokens + known[0].types + 1))
+            sums = [np.add.reduceat(x, block.starts) for x in (plain, np.log10(probability)[grams.of_token])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.sizes, pa.int64()),
+                 pa.array(np.add.reduceat((count > 0).astype(np.int64), block.starts)),
+                 pa.array(np.full(len(block.sizes), known[0].tokens)), *map(pa.array, sums)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _with_answers(blocks, tables).mapInArrow(
         evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
