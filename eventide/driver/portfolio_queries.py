@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventide.driver import sql as Q
 from eventide.driver import views as V
 from eventide.driver.market_queries import sd, z
-from eventide.driver.registry import big, day, num, query
+from eventide.driver.registry import big, day, num, query, sig_nine
 from eventide.driver.sql import r
 from eventide.driver.weight_queries import PICK
 from eventide.functions import rolling as R
@@ -98,7 +98,11 @@ SELECT *, CASE WHEN v > 0 THEN 1 / v END AS iv FROM (
   FROM (SELECT *, coalesce(px / lag(px) OVER (PARTITION BY mkt ORDER BY seq) - 1, 0) AS rt FROM grid)
   WINDOW w AS (PARTITION BY mkt ORDER BY seq ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING))""")
 Q.fragment("bact", """
-SELECT l.date, l.seq, l.ent, l.sig, b.rt, b.iv FROM live l JOIN bst b ON b.mkt = l.mkt AND b.seq = l.seq""")
+SELECT l.date, l.seq, l.ent, l.sig, b.rt, b.iv, sha1('42|' || size || '|' || (l.seq // (1 << size)) || '|' || ent) AS draw FROM (
+  SELECT *, list_max(list_filter(range(0, 16), lambda s: (seq // (1 << s)) * (1 << s) >= a AND (seq // (1 << s) + 1) * (1 << s) - 1 <= b)) AS size
+  FROM (SELECT *, min(seq) OVER (PARTITION BY ent, sid, run) AS a, max(seq) OVER (PARTITION BY ent, sid, run) AS b FROM (
+    SELECT *, seq - row_number() OVER (PARTITION BY ent, sid ORDER BY seq) AS run FROM live))) l
+JOIN bst b ON b.mkt = l.mkt AND b.seq = l.seq""")
 Q.fragment("bpair", """
 SELECT ent, seq, date, coalesce(iv / sum(iv) OVER (PARTITION BY seq), 0) AS w FROM bact""")
 Q.fragment("bcost", """
@@ -112,10 +116,10 @@ UNION ALL SELECT 'equal_weight_active', date, coalesce(x, 0) FROM tds LEFT JOIN
 UNION ALL SELECT 'inverse_vol_active', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM bact GROUP BY 1) USING (date)
 UNION ALL SELECT 'inverse_vol_active_10bps', date, coalesce(x, 0) - coalesce(c, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM bact GROUP BY 1) USING (date) LEFT JOIN bcost USING (seq)
 UNION ALL SELECT 'random_n', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * rt) / sum(iv), 0) AS x FROM (
-  SELECT * FROM bact QUALIFY row_number() OVER (PARTITION BY date ORDER BY sha1('42|' || date::VARCHAR || '|' || ent), ent) <= 50) GROUP BY 1) USING (date)
+  SELECT * FROM bact QUALIFY row_number() OVER (PARTITION BY date ORDER BY draw, ent) <= 50) GROUP BY 1) USING (date)
 UNION ALL SELECT 'shuffled_signal', date, coalesce(x, 0) FROM tds LEFT JOIN (SELECT date, coalesce(sum(iv * s * rt) / sum(iv * s), 0) AS x FROM (
   SELECT date, sig AS s, row_number() OVER (PARTITION BY date ORDER BY sig DESC, ent) AS k FROM bact WHERE sig > 0 QUALIFY k <= 50) JOIN (
-  SELECT date, rt, iv, row_number() OVER (PARTITION BY date ORDER BY sha1('42|' || date::VARCHAR || '|' || ent), ent) AS k FROM bact) USING (date, k) GROUP BY 1) USING (date)
+  SELECT date, rt, iv, row_number() OVER (PARTITION BY date ORDER BY draw, ent) AS k FROM bact) USING (date, k) GROUP BY 1) USING (date)
 UNION ALL SELECT lower(sym), date, coalesce(px / lag(px) OVER (PARTITION BY sym ORDER BY date) - 1, 0) FROM index_px QUALIFY date IN (SELECT date FROM tds)
 UNION ALL SELECT 'strategy', date, net FROM daily""")
 BENCH = "px_region bst bact bpair bcost index_px ball"
@@ -196,12 +200,13 @@ def _versus(spark, d):
 
 
 @query("rolling_excess", accounted(f"""
-SELECT a.p AS portfolio, a.date::VARCHAR AS date, {r('CASE WHEN count(*) OVER w = 252 THEN exp(sum(ln(1 + a.ret)) OVER w) - exp(sum(ln(1 + b.ret)) OVER w) END', 4)} AS rolling_excess
-FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight'
-WINDOW w AS (PARTITION BY a.p ORDER BY a.date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""", BENCH))
+SELECT a.p AS portfolio, a.date::VARCHAR AS date, {r(Q.sig_nine('x'))} AS rolling_excess FROM (
+  SELECT a.p, a.date, CASE WHEN count(*) OVER w = 252 THEN exp(sum(ln(1 + a.ret)) OVER w) - exp(sum(ln(1 + b.ret)) OVER w) END AS x
+  FROM ball a JOIN ball b ON a.date = b.date AND b.p = 'equal_weight'
+  WINDOW w AS (PARTITION BY a.p ORDER BY a.date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) a""", BENCH))
 def rolling_excess(spark, d):
     e = P.rolling_excess(_versus(spark, d), "ret", "bench", ["portfolio"])
-    return e.select("portfolio", day("date").alias("date"), num("rolling_excess", 4).alias("rolling_excess"))
+    return e.select("portfolio", day("date").alias("date"), num(sig_nine("rolling_excess")).alias("rolling_excess"))
 
 
 @query("monthly_hit_rate", accounted(f"""
@@ -294,14 +299,13 @@ def sensitivity_grid(spark, d):
 @query("construction_variants")
 def construction_variants(spark, d):
     """Caps, thresholds, list lengths and execution delay, each through the whole accounting."""
-    from eventide.operators.candidates import select_candidates
     variants = {"cap_2pct": (replace(V.RULES, max_weight=0.02), 0),
                 "signal_20pct": (replace(V.RULES, min_signal=0.2), 0),
                 "top_20": (replace(V.RULES, max_positions=20), 0),
                 "next_day": (V.RULES, 1)}
     rows = None
     for name, (rules, delay) in variants.items():
-        picked = select_candidates(V.active(spark, d), rules)
+        picked = V.selected(spark, d, rules)
         daily = A.account(W.inverse_vol_weights(picked, rules), V.predictions(spark, d),
                           V.grid(spark, d), V.days(spark, d), key="market_id", delay=delay,
                           stage=materialize)["daily"]

@@ -35,6 +35,13 @@ def num(x: Column | str, digits: int = 6) -> Column:
     return F.round(x.cast("double") + F.lit(TIE_SHIFT), digits) + F.lit(0.0)
 
 
+def sig_nine(x: Column | str) -> Column:
+    """Numbers from 1000 on to nine significant digits, for values of very different size."""
+    x = F.col(x) if isinstance(x, str) else x
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 8)
+    return F.when(F.abs(x) >= 1000, F.round(x / unit) * unit).otherwise(x)
+
+
 def day(x: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return x.cast("date").cast("string")

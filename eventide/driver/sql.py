@@ -9,6 +9,12 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE) + {TIE_SHIFT!r}, {digits}) + 0.0)"
 
 
+def sig_nine(x: str) -> str:
+    """Numbers from 1000 on to nine significant digits, for values of very different size."""
+    unit = f"pow(10, floor(log10(abs({x}))) - 8)"
+    return f"CASE WHEN abs({x}) >= 1000 THEN round({x} / {unit}) * {unit} ELSE {x} END"
+
+
 def nth(month: int, iso: int, n: int) -> str:
     first = f"make_date(y, {month}, 1)"
     return f"{first} + CAST((({iso} - isodow({first}) + 7) % 7 + {7 * (n - 1)}) AS INTEGER)"

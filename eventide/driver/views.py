@@ -260,30 +260,35 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.trading_days(calendar(spark, sf_dir))
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions active on each trading day, staged.
-
-    It is many times its input, but several allocators and benchmarks read it, some of
-    them more than once; expanded in every plan it was the largest cost of each.
-    """
-    return staged(spark, sf_dir, "live", lambda: candidates.active_by_day(
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as the intervals of trading days on which each is its entity's latest, staged."""
+    return staged(spark, sf_dir, "pieces", lambda: candidates.active_pieces(
         predictions(spark, sf_dir), calendar(spark, sf_dir), days(spark, sf_dir)))
 
 
-def active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``live`` with the day's risk estimate."""
-    vols = staged(spark, sf_dir, "risk_vol", lambda: candidates.risk_vol_by_day(
+def risk_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility of every market known before each trading day, staged."""
+    return staged(spark, sf_dir, "risk_vol", lambda: candidates.risk_vol_by_day(
         prices(spark, sf_dir, "nation"), calendar(spark, sf_dir), days(spark, sf_dir), "market_id"))
-    return candidates.with_risk(live(spark, sf_dir), vols, "market_id")
+
+
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per trading day and active name with the day's risk, for rules that weigh every name."""
+    expanded = pieces(spark, sf_dir).withColumn("seq", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+    return candidates.with_dates(candidates.with_risk(expanded, risk_vol(spark, sf_dir), "market_id"), days(spark, sf_dir))
 
 
 RULES = candidates.PortfolioRules()
 
 
+def selected(spark: SparkSession, sf_dir: str, rules: candidates.PortfolioRules) -> DataFrame:
+    return candidates.candidates_by_day(pieces(spark, sf_dir), risk_vol(spark, sf_dir), "market_id", days(spark, sf_dir), rules)
+
+
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's candidates by signal, staged."""
     return staged(spark, sf_dir, "picks",
-                  lambda: candidates.select_candidates(active(spark, sf_dir), RULES))
+                  lambda: selected(spark, sf_dir, RULES))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,12 +328,9 @@ def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         daily = portfolio(spark, sf_dir)["daily"]
         counts = bench.active_counts(predictions(spark, sf_dir), calendar(spark, sf_dir),
                                      days(spark, sf_dir), "market_id")
-        running = live(spark, sf_dir).select("as_of", "seq", "internal_company_id", "market_id",
-                                             "predicted_signal")
-        per_day = counts.groupBy("seq").agg(F.sum("active").alias("names"))
-        drawn = staged(spark, sf_dir, "random_names",
-                       lambda: bench.random_names(running, per_day, stage=materialize))
-        strong = bench.strongest_signals(running)
+        running = pieces(spark, sf_dir).select("internal_company_id", "market_id", "predicted_signal", "_a", "_b")
+        drawn = staged(spark, sf_dir, "random_names", lambda: bench.random_names(running, days(spark, sf_dir)))
+        strong = bench.strongest_signals(running, days(spark, sf_dir))
         wide = [bench.universe_returns(s, names),
                 bench.active_returns(counts, s, "market_id").withColumnRenamed(
                     "inverse_vol_active_after_cost", "inverse_vol_active_10bps"),

@@ -115,7 +115,7 @@ def sector_capped_weights(spark, d):
   FROM act WHERE prob >= 0.55) WHERE rk <= 100)
 """.replace("\n, dist", ", dist", 1) + final(capped(floored("conf / fs / vol", "dist"), "0.05"))))
 def distribution_weights(spark, d):
-    picked = C.select_distribution_candidates(V.active(spark, d), V.RULES)
+    picked = C.distribution_candidates_by_day(V.pieces(spark, d), V.risk_vol(spark, d), "market_id", V.days(spark, d), V.RULES)
     return out(W.distribution_weights(picked, V.RULES))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import rolling as R
-from eventide.operators.candidates import ENTITY, day_numbers
+from eventide.operators import interval_top as IT
+from eventide.operators.candidates import ENTITY, day_numbers, with_dates
 
 
 def index_returns(benchmarks: DataFrame) -> DataFrame:
@@ -124,41 +123,24 @@ def hash_order(seed: int, *parts: Column | str) -> Column:
         F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def random_names(active: DataFrame, per_day: DataFrame, n: int = 50, seed: int = 42,
-                 stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def random_names(pieces: DataFrame, days: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     """n active names of each day in a reproducible random order, numbered ``_k`` from 1.
 
-    ``per_day`` (seq, names) holds the number of active names. Ordering a
-    crowded day only to keep n names is wasteful, so a day first keeps the
-    names whose hash falls below a share expected to hold 4 n of them. Days
-    where fewer than n pass are ordered in full, which keeps the draw exact.
-    ``stage`` may write the first draw, a few rows per day, before it is checked.
+    ``pieces`` are the names' intervals (``active_pieces``). A name's number is drawn once per
+    block of its interval, so on any day the order of the active names is uniformly random,
+    while a name's luck lasts as long as the block.
     """
-    code = hash_order(seed, "as_of", ENTITY)
-    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(4.0 * n), F.col("names"))), F.lit(1.0))
-    limit = F.lpad(F.hex(F.floor(share * float(1 << 32)).cast("bigint")), 9, F.lit("0"))
-    limits = per_day.select("seq", F.least(F.col("names"), F.lit(n)).alias("_want"),
-                            F.lower(limit).alias("_limit"))
-    coded = active.withColumn("_h", code).join(F.broadcast(limits), "seq")
-    near = coded.where(F.concat(F.lit("0"), F.substring("_h", 1, 8)) < F.col("_limit"))
-    order = Window.partitionBy("as_of").orderBy("_h", ENTITY)
-    keep = lambda df: (df.withColumn("_k", F.row_number().over(order))
-                       .where(F.col("_k") <= n))
-    drawn = stage(keep(near))
-    got = drawn.groupBy("seq").agg(F.count(F.lit(1)).alias("_got"))
-    short = (limits.join(got, "seq", "left")
-             .where(F.coalesce("_got", F.lit(0)) < F.col("_want")).select("seq"))
-    rest = keep(coded.join(F.broadcast(short), "seq", "left_semi"))
-    done = drawn.join(F.broadcast(short), "seq", "left_anti")
-    return done.unionByName(rest).drop("_h", "_want", "_limit")
-
-
-def strongest_signals(active: DataFrame, n: int = 50) -> DataFrame:
+    last = days.agg(F.max("seq")).first()[0] or 0
+    drawn = IT.top_by_day(pieces, last, lambda: [hash_order(seed, *IT.BLOCK, ENTITY), F.col(ENTITY)], n)
+    return with_dates(drawn, days)
+
+
+def strongest_signals(pieces: DataFrame, days: DataFrame, n: int = 50) -> DataFrame:
     """The n largest positive signals of each day, numbered ``_k`` from 1."""
-    order = Window.partitionBy("as_of").orderBy(F.col("predicted_signal").desc(), ENTITY)
-    return (active.where(F.col("predicted_signal") > 0)
-            .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
-            .select("as_of", "_k", F.col("predicted_signal").alias("_s")))
+    last = days.agg(F.max("seq")).first()[0] or 0
+    rows = pieces.where(F.col("predicted_signal") > 0).select(ENTITY, "predicted_signal", IT.FIRST, IT.LAST)
+    top = IT.top_by_day(rows, last, lambda: [F.col("predicted_signal").desc(), F.col(ENTITY)], n)
+    return with_dates(top, days).select("as_of", "_k", F.col("predicted_signal").alias("_s"))
 
 
 def random_returns(names: DataFrame, state: DataFrame, key: str = ENTITY) -> DataFrame:

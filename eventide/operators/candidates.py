@@ -1,8 +1,8 @@
 """Which predictions are live on each trading day, and which compete for weight.
 
-Everything is computed for all days at once. A prediction is expanded over the
-trading days it is valid, which is the size of the answer; there is no join of
-every day with every prediction.
+Everything is computed for all days at once. Predictions become disjoint intervals of trading
+days per entity; lists of a day's best come from the intervals (``interval_top``), and only
+answers that have a row per day and entity expand them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import rolling as R
 from eventide.functions import scalars as S
+from eventide.operators import interval_top as IT
 from eventide.operators.scale_target import with_daily_returns
 
 ENTITY = "internal_company_id"
@@ -46,10 +47,10 @@ def active_on(predictions: DataFrame, as_of: str) -> DataFrame:
                                                                F.col("exit_date")))
 
 
-def active_by_day(predictions: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
-    """One row per trading day and entity: the latest prediction active that day.
+def active_pieces(predictions: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """Predictions with the day numbers (_a to _b) on which each is its entity's latest active one.
 
-    Almost always an entity's intervals follow each other or overlap in order;
+    A row per run of such days.     Almost always an entity's intervals follow each other or overlap in order;
     then each is simply cut where the next begins. Only entities with an
     interval inside an older one need the per-day comparison.
     """
@@ -63,9 +64,25 @@ def active_by_day(predictions: DataFrame, calendar: DataFrame, days: DataFrame)
     nested = flagged.where("_nested").drop("_nested").withColumn("_until", F.col("exit_date"))
     cols = [c for c in predictions.columns if c != ENTITY]
     latest = F.max_by(F.struct(*cols), F.struct("entry_date", "sample_id"))
-    resolved = (_expand(nested, calendar, days).groupBy("as_of", "seq", ENTITY).agg(latest.alias("_p"))
-                .select("as_of", "seq", ENTITY, "_p.*"))
-    return _expand(plain, calendar, days).unionByName(resolved)
+    per_day = (_numbered(nested, calendar, days).withColumn("seq", F.explode(F.sequence(IT.FIRST, IT.LAST)))
+               .groupBy("seq", ENTITY).agg(latest.alias("_p")))
+    place = F.row_number().over(Window.partitionBy(ENTITY, "_p.sample_id").orderBy("seq"))
+    resolved = (per_day.withColumn("_run", F.col("seq") - place).groupBy(ENTITY, "_p.sample_id", "_run")
+                .agg(F.first("_p").alias("_p"), F.min("seq").alias(IT.FIRST), F.max("seq").alias(IT.LAST))
+                .select(ENTITY, "_p.*", IT.FIRST, IT.LAST))
+    return _numbered(plain, calendar, days).unionByName(resolved)
+
+
+def active_by_day(predictions: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """One row per trading day and entity: the latest prediction active that day."""
+    expanded = active_pieces(predictions, calendar, days).withColumn(
+        "seq", F.explode(F.sequence(IT.FIRST, IT.LAST))).drop(IT.FIRST, IT.LAST)
+    return with_dates(expanded, days)
+
+
+def with_dates(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows with the date of their day number, as ``as_of``."""
+    return rows.join(F.broadcast(days.select("seq", F.col("date").alias("as_of"))), "seq")
 
 
 def day_numbers(calendar: DataFrame, days: DataFrame) -> DataFrame:
@@ -76,8 +93,8 @@ def day_numbers(calendar: DataFrame, days: DataFrame) -> DataFrame:
     return hit.select("date", before.alias("before"), F.coalesce("seq", before + 1).alias("after"))
 
 
-def _expand(intervals: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
-    """One row per trading day from entry_date to _until."""
+def _numbered(intervals: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """Intervals from entry_date to _until as day numbers; those without a trading day drop out."""
     span = calendar.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
     numbers = day_numbers(calendar, days)
     start = numbers.select(F.col("date").alias("_start"), F.col("after").alias("_a"))
@@ -85,10 +102,7 @@ def _expand(intervals: DataFrame, calendar: DataFrame, days: DataFrame) -> DataF
     clipped = (intervals.withColumn("_start", F.greatest("entry_date", span["lo"]))
                .withColumn("_stop", F.least("_until", span["hi"])))
     return (clipped.join(F.broadcast(start), "_start").join(F.broadcast(stop), "_stop")
-            .where(F.col("_a") <= F.col("_b"))
-            .withColumn("seq", F.explode(F.sequence("_a", "_b")))
-            .drop("_a", "_b", "_start", "_stop", "_until")
-            .join(F.broadcast(days.select("seq", F.col("date").alias("as_of"))), "seq"))
+            .where(F.col(IT.FIRST) <= F.col(IT.LAST)).drop("_start", "_stop", "_until"))
 
 
 def risk_vol_by_day(prices: DataFrame, calendar: DataFrame, days: DataFrame, key: str,
@@ -119,6 +133,30 @@ def with_risk(active: DataFrame, vols: DataFrame, key: str) -> DataFrame:
     return active.join(vols.where(F.col("vol_estimate").isNotNull()), [key, "seq"])
 
 
+def _positive(rows: DataFrame, rules: PortfolioRules) -> DataFrame:
+    return (rows.where(F.col("predicted_signal").isNotNull())
+            .withColumn("positive_signal", F.greatest("predicted_signal", F.lit(0.0)))
+            .where(F.col("positive_signal") >= rules.min_signal))
+
+
+def _sized(rows: DataFrame, vols: DataFrame, key: str, days: DataFrame, by: str, rules: PortfolioRules) -> DataFrame:
+    """The first ``max_positions`` of each day by a column, among those with a volatility that day."""
+    known = vols.where(F.col("vol_estimate").isNotNull())
+    top = IT.top_by_day(IT.within(rows, IT.spans(known, key), key), days.agg(F.max("seq")).first()[0] or 0,
+                        lambda: [F.col(by).desc(), F.col(ENTITY)], rules.max_positions, "signal_rank")
+    return with_dates(top.join(known, [key, "seq"]), days)
+
+
+def candidates_by_day(pieces: DataFrame, vols: DataFrame, key: str, days: DataFrame, rules: PortfolioRules) -> DataFrame:
+    """``select_candidates`` of every day from intervals (``active_pieces``), without a row per day and name."""
+    return _sized(_positive(pieces, rules), vols, key, days, "positive_signal", rules)
+
+
+def distribution_candidates_by_day(pieces: DataFrame, vols: DataFrame, key: str, days: DataFrame, rules: PortfolioRules, **limits) -> DataFrame:
+    """``select_distribution_candidates`` of every day from intervals."""
+    return _sized(_confident(pieces, **limits), vols, key, days, "sort_key", rules)
+
+
 def select_candidates(active: DataFrame, rules: PortfolioRules) -> DataFrame:
     """Positive signals above the threshold, the strongest ``max_positions`` per day.
 
@@ -126,26 +164,27 @@ def select_candidates(active: DataFrame, rules: PortfolioRules) -> DataFrame:
     the shuffle, so a crowded day never moves whole.
     """
     w = Window.partitionBy("as_of").orderBy(F.col("positive_signal").desc(), ENTITY)
-    return (active.where(F.col("predicted_signal").isNotNull())
-            .withColumn("positive_signal", F.greatest("predicted_signal", F.lit(0.0)))
-            .where(F.col("positive_signal") >= rules.min_signal)
-            .withColumn("signal_rank", F.row_number().over(w))
+    return (_positive(active, rules).withColumn("signal_rank", F.row_number().over(w))
             .where(F.col("signal_rank") <= rules.max_positions))
 
 
-def select_distribution_candidates(active: DataFrame, rules: PortfolioRules, *,
-                                   min_probability: float = 0.55,
-                                   std_floor: float = 0.05) -> DataFrame:
-    """Candidates by probability of a gain, ranked by confidence over predicted spread."""
+def _confident(rows: DataFrame, min_probability: float = 0.55, std_floor: float = 0.05) -> DataFrame:
     std = F.greatest("predicted_signal_std", F.lit(std_floor))
-    w = Window.partitionBy("as_of").orderBy(F.col("sort_key").desc(), ENTITY)
-    return (active.dropna(subset=["predicted_signal", "probability_positive",
+    return (rows.dropna(subset=["predicted_signal", "probability_positive",
                                   "predicted_signal_std"])
             .where(F.col("probability_positive") >= min_probability)
             .withColumn("positive_signal", F.greatest("predicted_signal", F.lit(0.0)))
             .withColumn("confidence", F.greatest(F.col("probability_positive") - 0.5, F.lit(0.0)))
             .withColumn("floored_std", std)
-            .withColumn("sort_key", F.col("confidence") / std)
+            .withColumn("sort_key", F.col("confidence") / std))
+
+
+def select_distribution_candidates(active: DataFrame, rules: PortfolioRules, *,
+                                   min_probability: float = 0.55,
+                                   std_floor: float = 0.05) -> DataFrame:
+    """Candidates by probability of a gain, ranked by confidence over predicted spread."""
+    w = Window.partitionBy("as_of").orderBy(F.col("sort_key").desc(), ENTITY)
+    return (_confident(active, min_probability, std_floor)
             .withColumn("signal_rank", F.row_number().over(w))
             .where(F.col("signal_rank") <= rules.max_positions))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import accounting as A
 from eventide.operators import benchmarks as B
+from eventide.operators import interval_top as IT
 from eventide.operators import calendar as cal
 from eventide.operators import candidates as C
 from eventide.operators import denoise as N
@@ -167,17 +168,39 @@ def test_active_days_and_counts_with_overlaps(spark):
     assert {k for k, v in counts.items() if v[0]} == {(e, t) for t, e in want}
 
 
-def test_random_names_equal_full_order(spark):
-    df = spark.createDataFrame([(D(2024, 1, 1), 0, f"N{i:04d}") for i in range(900)]
-                               + [(D(2024, 1, 2), 1, f"N{i:04d}") for i in range(30)],
-                               "as_of date, seq int, internal_company_id string")
-    per = df.groupBy("seq").agg(F.count(F.lit(1)).alias("names"))
-    got = {(r.seq, r.internal_company_id) for r in B.random_names(df, per, 50).collect()}
-    coded = df.withColumn("h", B.hash_order(42, "as_of", "internal_company_id")).toPandas().sort_values("h")
-    assert got == set(coded.groupby("seq").head(50)[["seq", "internal_company_id"]].itertuples(index=False, name=None))
-    # Far too low an estimate of the day's size must not change the draw.
-    wrong = per.withColumn("names", F.lit(10 ** 7).cast("bigint"))
-    assert got == {(r.seq, r.internal_company_id) for r in B.random_names(df, wrong, 50).collect()}
+def test_top_by_day_equals_every_day_ranked(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        lo = int(rng.integers(0, 100))
+        rows.append((f"N{i:04d}", float(rng.integers(0, 30)) / 10, lo, min(99, lo + int(rng.integers(0, 70)))))
+    df = spark.createDataFrame(rows, "internal_company_id string, s double, _a long, _b long")
+    got = {(r.seq, r["_k"]): r.internal_company_id for r in IT.top_by_day(df, 99, lambda: [F.desc("s"), F.col("internal_company_id")], 7).collect()}
+    want = {}
+    for t in range(100):
+        held = sorted((-s, e) for e, s, a, b in rows if a <= t <= b)[:7]
+        want |= {(t, k): e for k, (_, e) in enumerate(held, 1)}
+    assert got == want
+    blocks = IT.dyadic_blocks(df, 99).collect()
+    covered = sorted((r.internal_company_id, t) for r in blocks for t in range(r["_block"] << r["_size"], (r["_block"] + 1) << r["_size"]))
+    assert covered == sorted((e, t) for e, _, a, b in rows for t in range(a, b + 1))
+
+
+def test_within_spans_cuts_intervals(spark):
+    vols = spark.createDataFrame([("m", t) for t in (2, 3, 4, 8, 9)], "k string, seq long")
+    rows = spark.createDataFrame([("m", "x", 0, 8), ("m", "y", 5, 7), ("n", "z", 0, 9)], "k string, e string, _a long, _b long")
+    got = sorted((r.e, r["_a"], r["_b"]) for r in IT.within(rows, IT.spans(vols, "k"), "k").collect())
+    assert got == [("x", 2, 4), ("x", 8, 8)]
+
+
+def test_random_names_are_a_day_of_uniform_draws(spark):
+    days = spark.createDataFrame([(t, D(2024, 1, 1) + dt.timedelta(days=t)) for t in range(16)], "seq long, date date")
+    df = spark.createDataFrame([(f"N{i:04d}", i % 5, 15 - i % 3) for i in range(300)], "internal_company_id string, _a long, _b long")
+    got = B.random_names(df, days, 20).collect()
+    again = B.random_names(df.repartition(7), days, 20).collect()
+    assert {(r.seq, r["_k"], r.internal_company_id) for r in got} == {(r.seq, r["_k"], r.internal_company_id) for r in again}
+    assert all(int(r.internal_company_id[1:]) % 5 <= r.seq <= 15 - int(r.internal_company_id[1:]) % 3 for r in got)
+    assert {t: sum(r.seq == t for r in got) for t in range(16)} == dict.fromkeys(range(16), 20)
 
 
 def test_market_mode_share_matches_correlation(spark):
