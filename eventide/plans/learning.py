@@ -14,13 +14,14 @@ from itertools import product
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
 from eventide.operators import diagnostics as D
 from eventide.operators import scale_target as ST
+from eventide.plans import boosting as B
 
 LABEL = "target_normalized_signal"
 
@@ -59,11 +60,27 @@ def fit_ridge(train: DataFrame, alpha: float = 1.0, weight: str | None = None,
     return (est.setWeightCol(weight) if weight else est).fit(train)
 
 
+def held_back(train: DataFrame, share: float = 0.2, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Training rows and, chosen by a hash of the key, the share that early stopping watches."""
+    held = F.pmod(F.xxhash64(key), F.lit(1000)) < int(share * 1000)
+    return train.where(~held), train.where(held)
+
+
+def boosted(train: DataFrame, validation: DataFrame, weight: str | None = None, label: str = LABEL,
+            rules: B.Boosting = B.Boosting()) -> B.Fitted:
+    """Trees on squared error; rounds end when the validation rows' error stops falling."""
+    columns = ["features", label] + ([weight] if weight else [])
+    if weight and weight not in validation.columns:
+        validation = validation.withColumn(weight, F.lit(1.0))
+    return B.boost(train.select(*columns), validation.select(*columns), *B.squared(label, weight), rules)
+
+
 def fit_boosted(train: DataFrame, weight: str | None = None, label: str = LABEL, *,
-                rounds: int = 10, depth: int = 3, step: float = 0.1, seed: int = 7) -> Model:
-    est = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth,
-                       stepSize=step, seed=seed, subsamplingRate=0.8)
-    return (est.setWeightCol(weight) if weight else est).fit(train)
+                validation: DataFrame | None = None, **rules) -> Model:
+    """``boosted`` with the given validation rows, or with some of the training rows held back."""
+    if validation is None:
+        train, validation = held_back(train)
+    return boosted(train, validation, weight, label, B.Boosting(**rules)).model
 
 
 FITTERS: dict[str, Callable[..., Model]] = {"ridge": fit_ridge, "boosted": fit_boosted}
@@ -87,6 +104,8 @@ def train_and_predict(matrix: DataFrame, kind: str = "ridge", weighted: bool = T
     weight = None
     if weighted:
         train, weight = ST.frequency_weights(train), "sample_weight"
+    if kind == "boosted" and "validation" not in train_splits:
+        params = {"validation": labelled(matrix).where(F.col("split") == "validation"), **params}
     model = FITTERS[kind](train, weight=weight, **params)
     return model, score(model, matrix, model_id or f"{kind}_v1", kind)
 
@@ -188,19 +207,18 @@ def walk_forward(matrix: DataFrame, kind: str, start: date, end: date, *, months
     return stitched
 
 
-def fit_ranker(matrix: DataFrame, *, rounds: int = 10, depth: int = 3,
-               seed: int = 7) -> tuple[Model, DataFrame]:
-    """Cross-sectional ranking model: boosted trees on graded relevance within the quarter.
+def fit_ranker(matrix: DataFrame, rules: B.Boosting = B.Boosting(), at: int = 10) -> tuple[B.Fitted, DataFrame]:
+    """Cross-sectional ranking model: trees on a pairwise loss among the rows of a quarter.
 
-    A pointwise stand-in for a pairwise ranking loss; judge it by NDCG. Scores
-    become signals by their rank within the quarter.
+    Relevance is graded by return within the quarter. Rounds end when NDCG of the validation
+    quarters stops rising. Scores become signals by their rank within the quarter.
     """
     graded = ST.rank_labels(matrix.where(F.col("raw_log_return").isNotNull()))
-    graded = graded.withColumn("_label", F.col("relevance").cast("double"))
-    model = fit_boosted(graded.where(F.col("split") == "train"), label="_label", rounds=rounds,
-                        depth=depth, seed=seed)
-    scored = model.transform(graded).withColumnRenamed("prediction", "raw_score")
-    return model, D.quarter_rank_signal(scored.drop("features"), "raw_score")
+    columns = ["sample_id", "quarter", "relevance", "features"]
+    part = lambda name: graded.where(F.col("split") == name).select(*columns)
+    fitted = B.boost(part("train"), part("validation"), *B.ranking("quarter", "relevance", "sample_id", at=at), rules)
+    scored = fitted.model.transform(graded).withColumnRenamed("prediction", "raw_score")
+    return fitted, D.quarter_rank_signal(scored.drop("features"), "raw_score")
 
 
 def reward_weighted_rounds(matrix: DataFrame, kind: str = "ridge", reward_scale: float = 8.0,
