@@ -17,7 +17,7 @@ from eventide.operators import calendar as cal
 from eventide.operators import (accounting, asof, candidates, events, feature_encoding,
                                 market_features, scale_target, weights)
 from eventide.operators import benchmarks as bench
-from eventide.plans import dataset
+from eventide.plans import artefacts, dataset, scoring
 from eventide.session import materialize, scratch_path
 from eventide.sources import tables
 
@@ -392,5 +392,35 @@ def model_matrix(spark: SparkSession, sf_dir: str, transfer: bool = False) -> Da
 
 
 _MATRICES: dict[tuple[str, str, bool], str] = {}
+LIVE_DAY = "2000-06-03"
+
+
+def model_inputs(spark: SparkSession, sf_dir: str) -> artefacts.Inputs:
+    return artefacts.Inputs(facts(spark, sf_dir), prices(spark, sf_dir), "market_id",
+                            market_features.market_panel(grid(spark, sf_dir), "market_id"))
+
+
+def saved_models(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the encoder and ridge model fitted on the training rows, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        path = scratch_path(spark, "models")
+        artefacts.fit(scaled_samples(spark, sf_dir), model_inputs(spark, sf_dir), path, min_companies=MIN_COMPANIES)
+        _SAVED[key] = path
+    return _SAVED[key]
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event each entity had by the live day, with its ex-ante scale, staged."""
+    def build() -> DataFrame:
+        closed = event_samples(spark, sf_dir).where(F.col("exit_date") < F.lit(LIVE_DAY).cast("date"))
+        return scoring.live_with_scale(placed_filings(spark, sf_dir), closed, prices(spark, sf_dir),
+                                       calendar(spark, sf_dir), "market_id", LIVE_DAY)
+    return staged(spark, sf_dir, "live_samples", build)
+
+
 MATRIX_KEYS = ["sample_id", "internal_company_id", "split", "entry_date", "exit_date",
                "ex_ante_scale", "target_normalized_signal", "raw_log_return", "holding_days"]
