@@ -272,3 +272,34 @@ def cycle_digest(spark, d):
     new = inc.new_events(f, state, "internal_company_id", "accepted_datetime")
     scores = V.predictions(spark, d, "region").where(F.col("split") == "test")
     return inc.digest(new, scores, V.table(spark, d, "customer")).select("item", num("value").alias("value"))
+
+
+_CYCLES = ("1999-01-01", "2000-01-01")
+
+
+@query("cycle_digests", Q.with_(Q.scaled() + " pr", f"""
+, cyc AS (SELECT o_custkey, CASE WHEN o_orderdate < DATE '{_CYCLES[0]}' THEN 0 WHEN o_orderdate < DATE '{_CYCLES[1]}' THEN 1 ELSE 2 END AS b FROM orders),
+newest AS (SELECT b, sid, sig FROM (SELECT DISTINCT b FROM cyc) JOIN pr ON CASE WHEN b = 2 THEN TRUE WHEN b = 1 THEN en < DATE '{_CYCLES[1]}' ELSE en < DATE '{_CYCLES[0]}' END
+  QUALIFY row_number() OVER (PARTITION BY b, ent ORDER BY en DESC, sid) = 1)
+SELECT b::BIGINT AS cycle, item, {r('value')} AS value FROM (
+  SELECT b, 'watched' AS item, (SELECT count(*) FROM customer)::DOUBLE AS value FROM (SELECT DISTINCT b FROM cyc)
+  UNION ALL SELECT b, 'new_events', count(DISTINCT o_custkey)::DOUBLE FROM cyc GROUP BY 1
+  UNION ALL SELECT * FROM (SELECT b, sid, sig FROM newest WHERE sig > 0 QUALIFY row_number() OVER (PARTITION BY b ORDER BY sig DESC, sid) <= 10))"""))
+def cycle_digests(spark, d):
+    """Three cycles of a streaming job: each finds files of later orders and scores entered by then."""
+    base = scratch_path(spark, "cycles")
+    filings = V.filings(spark, d).select("internal_company_id", "accepted_datetime")
+    scores = V.predictions(spark, d, "region").select("sample_id", "internal_company_id", "entry_date", "predicted_signal")
+    watched = V.table(spark, d, "customer").select("c_custkey")
+    at = F.col("accepted_datetime")
+    edges = [None, *_CYCLES, None]
+    for low, high in zip(edges, edges[1:]):
+        later = at >= V.eastern_mark(low) if low else F.lit(True)
+        arrived = filings.where(later & (at < V.eastern_mark(high) if high else F.lit(True)))
+        arrived.write.mode("append").parquet(f"{base}/arrived")
+        entered = scores.where(F.col("entry_date") < F.lit(high).cast("date")) if high else scores
+        stream = spark.readStream.schema(filings.schema).parquet(f"{base}/arrived")
+        inc.digest_cycles(stream, "internal_company_id", "accepted_datetime", base,
+                          lambda known=entered: inc.newest_scores(known, "internal_company_id", "entry_date"),
+                          watched).awaitTermination()
+    return spark.read.parquet(f"{base}/digest").select(big("batch").alias("cycle"), "item", num("value").alias("value"))

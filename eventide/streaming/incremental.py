@@ -106,3 +106,23 @@ def digest(new: DataFrame, scores: DataFrame, watched: DataFrame, top: int = 10)
             .orderBy(F.col("predicted_signal").desc(), "sample_id").limit(top)
             .select(F.col("sample_id").alias("item"), F.col("predicted_signal").alias("value")))
     return counts.unionByName(best)
+
+
+def newest_scores(scores: DataFrame, entity: str, time: str) -> DataFrame:
+    """Each entity's score of its latest ``time``; the smallest sample id among equals."""
+    rest = [c for c in scores.columns if c != entity]
+    first = F.min_by(F.struct(*rest), F.struct((-F.unix_date(F.col(time).cast("date"))).alias("age"), "sample_id"))
+    return scores.groupBy(entity).agg(first.alias("_s")).select(entity, "_s.*")
+
+
+def digest_cycles(stream: DataFrame, entity: str, time: str, path: str, scores: Callable[[], DataFrame],
+                  watched: DataFrame, top: int = 10) -> StreamingQuery:
+    """One cycle over all files now available: detect new events, then write the batch's digest.
+
+    ``scores`` is asked in every batch, so a digest shows the scores of its own time. The
+    digest of batch b is the folder ``digest/batch=b``: a batch run again replaces it.
+    """
+    def write(fresh: DataFrame, batch_id: int) -> None:
+        digest(fresh, scores(), watched, top).write.mode("overwrite").parquet(f"{path}/digest/batch={batch_id}")
+
+    return detect_new_events(stream, entity, time, f"{path}/state", f"{path}/new", f"{path}/checkpoint", write)

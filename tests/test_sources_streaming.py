@@ -122,6 +122,37 @@ def test_stream_marks_move_and_replays_are_harmless(spark, tmp_path):
     assert got[(1, "b")] == (dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 9))
 
 
+def test_digest_cycles_follow_scores_and_replace_a_replayed_batch(spark, tmp_path):
+    src, base = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "entity string, ts timestamp"
+    watched = spark.range(3)
+    table = [("s1", "a", D(2024, 1, 1), 0.9), ("s2", "a", D(2024, 2, 1), 0.2), ("s3", "b", D(2024, 1, 1), 0.5),
+             ("s4", "b", D(2024, 1, 1), 0.7), ("s5", "c", D(2024, 1, 1), -0.1)]
+    scores = spark.createDataFrame(table, "sample_id string, entity string, entry_date date, predicted_signal double")
+
+    def cycle(rows, until):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        inc.digest_cycles(spark.readStream.schema(schema).parquet(src), "entity", "ts", base,
+                          lambda: inc.newest_scores(scores.where(F.col("entry_date") < F.lit(until)), "entity", "entry_date"),
+                          watched, 5).awaitTermination()
+        out = {}
+        for r in spark.read.parquet(f"{base}/digest").collect():
+            out.setdefault(r.batch, {})[r.item] = r.value
+        return out
+
+    t = dt.datetime
+    cycle([("a", t(2024, 1, 1)), ("b", t(2024, 1, 2)), ("a", t(2024, 1, 1))], D(2024, 1, 15))
+    cycle([("a", t(2024, 1, 1)), ("b", t(2024, 1, 9))], D(2024, 3, 1))
+    got = cycle([("c", t(2024, 1, 1)), (None, t(2024, 1, 1))], D(2024, 3, 1))
+    assert got == {0: {"watched": 3.0, "new_events": 2.0, "s1": 0.9, "s3": 0.5},
+                   1: {"watched": 3.0, "new_events": 1.0, "s2": 0.2, "s3": 0.5},
+                   2: {"watched": 3.0, "new_events": 2.0, "s2": 0.2, "s3": 0.5}}
+    assert cycle([], D(2024, 3, 1)) == got  # nothing arrived: no further cycle
+    (tmp_path / "out" / "checkpoint" / "commits" / "2").unlink()  # the last batch was cut off before its commit
+    assert cycle([], D(2024, 3, 1)) == got
+
+
 def test_content_change_and_stale_series(spark):
     a = spark.createDataFrame([("k", D(2024, 1, 1))], "k string, date date")
     b = a.unionByName(spark.createDataFrame([("j", D(2024, 1, 20))], a.schema))
