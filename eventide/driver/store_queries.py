@@ -43,16 +43,19 @@ def report_sinks(spark, d):
     return both.select("segment", "customers", num("balance", 4).alias("balance"))
 
 
-@query("run_registry", """
-SELECT 'run' || (n_regionkey + 1) AS run, count(*)::BIGINT AS nations FROM nation GROUP BY n_regionkey""")
+@query("run_registry", f"""
+SELECT CASE WHEN o_orderdate < DATE '1999-01-01' THEN 'to_1998' ELSE 'from_1999' END AS run, o_orderpriority AS priority,
+  count(*)::BIGINT AS orders, {r('max(o_totalprice)', 4)} AS largest FROM orders GROUP BY ALL""")
 def run_registry(spark, d):
-    """Runs appended to the registry one after the other."""
+    """Two runs over orders, each appended to the registry as its summary by priority."""
     path = scratch_path(spark, "runs")
-    nations = V.table(spark, d, "nation")
-    for region in range(5):
-        tables.append_run(nations.where(F.col("n_regionkey") == region).agg(F.count(F.lit(1)).alias("nations"))
-                          .select(F.lit(f"run{region + 1}").alias("run"), "nations"), path)
-    return spark.read.parquet(path).select("run", big("nations").alias("nations"))
+    orders = V.table(spark, d, "orders")
+    early = F.col("o_orderdate").cast("date") < F.lit("1999-01-01").cast("date")
+    for run, rows in (("to_1998", early), ("from_1999", ~early)):
+        summary = orders.where(rows).groupBy(F.col("o_orderpriority").alias("priority")).agg(
+            F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("largest"))
+        tables.append_run(summary.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).select("run", "priority", big("orders").alias("orders"), num("largest", 4).alias("largest"))
 
 
 @query("counted_write", """
