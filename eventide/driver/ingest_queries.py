@@ -14,6 +14,7 @@ from eventide.session import scratch_path
 from eventide.sources import documents as docs
 from eventide.sources import tables
 from eventide.streaming import incremental as inc
+from eventide.streaming import refresh as ref
 
 BLOCK = 64  # rows per generated document, so that no customer becomes one huge document
 
@@ -260,6 +261,35 @@ def changed_entity_refresh(spark, d):
         big(F.count(F.lit(1))).alias("events"), big(F.countDistinct("event_type")).alias("kinds")))
 
 
+@query("stream_fact_refresh", """
+WITH e AS (SELECT *, event_id % 3 AS b FROM events),
+m AS (SELECT user_id, max(ts) FILTER (b = 0) AS m0, max(ts) FILTER (b = 1) AS m1, max(ts) FILTER (b = 2) AS m2 FROM e GROUP BY 1),
+f AS (SELECT user_id, CASE WHEN m2 > coalesce(greatest(m0, m1), TIMESTAMP '1900-01-01') THEN 2
+  WHEN m1 > coalesce(m0, TIMESTAMP '1900-01-01') THEN 1 ELSE 0 END AS refreshed_in FROM m)
+SELECT user_id, refreshed_in::BIGINT AS refreshed_in, count(*)::BIGINT AS events, count(DISTINCT event_type)::BIGINT AS kinds
+FROM e JOIN f USING (user_id) WHERE b <= refreshed_in GROUP BY ALL""")
+def stream_fact_refresh(spark, d):
+    """Facts per user kept fresh by a streaming job.
+
+    All events arrive out of time order in three deliveries and the second once more.
+    A user's facts are those of the last delivery that held an event newer than all
+    before it; the repeated delivery changes nothing.
+    """
+    base = scratch_path(spark, "refresh")
+    e = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    delivery = F.col("event_id") % 3
+    buckets = 8 + e.agg(F.approx_count_distinct("user_id")).first()[0] // 100_000
+    for b in (0, 1, 2, 1):
+        e.where(delivery == b).write.mode("append").parquet(f"{base}/arrived")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/arrived")
+        ref.refresh_facts(
+            stream, "user_id", "ts", base,
+            lambda changed, b=b: inc.refresh_changed(changed, e.where(delivery <= b), "user_id", lambda x: x.groupBy(
+                "user_id").agg(big(F.count(F.lit(1))).alias("events"), big(F.countDistinct("event_type")).alias("kinds"))),
+            buckets).awaitTermination()
+    return ref.read_facts(spark, base, "user_id").select("user_id", big("refreshed_in").alias("refreshed_in"), "events", "kinds")
+
+
 @query("cycle_digest", Q.with_(Q.scaled() + " pr", f"""
 SELECT item, {r('value')} AS value FROM (
   SELECT 'watched' AS item, count(*)::DOUBLE AS value FROM customer
