@@ -354,6 +354,41 @@ def overlay_scales(spark, d):
                     num("ad").alias("adaptive_drawdown_scale"), num("beta_scale").alias("beta_scale"))
 
 
+Q.fragment("scl", f"SELECT date, {ema('xv', 0.7)} * {ema('xd', 0.5)} * {ema('xb', 0.5)} AS x FROM ovx")
+Q.fragment("tgt_o", """
+SELECT t.date, t.ent, t.mkt, t.seq, t.w * x AS w, 1 - sum(t.w * x) OVER (PARTITION BY t.date) AS cash FROM tgt t JOIN scl USING (date)""")
+for _name in ("dri", "trd", "gross", "daily"):  # the same accounting, on the scaled weights
+    Q.fragment(f"{_name}_o", Q.renamed(_name, ("tgt", "dri", "trd", "gross"), "_o"))
+
+
+@query("overlay_performance", accounted(f"""
+, runs AS (SELECT 'none' AS overlay, date, net, cost, cash, tov FROM daily UNION ALL SELECT 'vol_drawdown_beta', date, net, cost, cash, tov FROM daily_o),
+eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY overlay ORDER BY date)) AS e FROM runs),
+dn AS (SELECT *, e / max(e) OVER (PARTITION BY overlay ORDER BY date) - 1 AS dd FROM eq),
+s AS (SELECT overlay, exp(sum(ln(1 + net)) * 252 / count(*)) - 1 AS ar, stddev_samp(net) * sqrt(252) AS av, min(dd) AS mdd,
+  sum(cost) AS cost, avg(cash) AS cash, min(cash) AS least_cash, avg(tov) * 252 AS tov FROM dn GROUP BY 1)
+SELECT overlay, {r('ar')} AS annualized_return, {r('av')} AS annualized_volatility, {r('ar / av')} AS sharpe, {r('mdd')} AS max_drawdown,
+  {r('cost')} AS total_cost, {r('cash')} AS avg_cash_weight, {r('least_cash')} AS least_cash_weight, {r('tov')} AS annualized_turnover FROM s""",
+    "px_region index_px ovl ovx scl tgt_o dri_o trd_o gross_o daily_o"))
+def overlay_performance(spark, d):
+    """The strategy, and the same weights under volatility, drawdown and beta scales through accounting of their own."""
+    daily = V.portfolio(spark, d)["daily"]
+    w = R.series("symbol", "date")
+    market = (V.benchmarks(spark, d).where(F.col("symbol") == "SPY")
+              .withColumn("market_ret", F.col("adjusted_close") / F.lag("adjusted_close").over(w) - 1.0))
+    scales = materialize(O.beta_scale(O.drawdown_scale(O.vol_scale(daily)), market), "scales")
+    scaled = O.account_scaled(V.targets(spark, d), scales, ("vol_scale", "drawdown_scale", "beta_scale"), V.predictions(spark, d),
+                              V.grid(spark, d), V.days(spark, d), key="market_id", stage=materialize)["daily"]
+    rows = (daily.withColumn("overlay", F.lit("none"))
+            .unionByName(scaled.withColumn("overlay", F.lit("vol_drawdown_beta"))))
+    s = P.performance_summary(rows, ["overlay"], "net_return", "turnover")
+    costs = rows.groupBy("overlay").agg(F.sum("transaction_cost_return").alias("total_cost"), F.avg("cash_weight").alias("avg_cash_weight"),
+                                        F.min("cash_weight").alias("least_cash_weight"))
+    return s.join(costs, "overlay").select("overlay", *[num(c).alias(c) for c in (
+        "annualized_return", "annualized_volatility", "sharpe", "max_drawdown", "total_cost", "avg_cash_weight",
+        "least_cash_weight", "annualized_turnover")])
+
+
 @query("state_overlay_scales")
 def state_overlay_scales(spark, d):
     """Vol-of-vol, loss-cluster, coherence and dispersion scales, and the scaled weights' cash."""

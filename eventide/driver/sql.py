@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from eventide.driver.registry import TIE_SHIFT
 
 
@@ -34,6 +36,11 @@ def fragment(name: str, sql: str) -> None:
     _FRAGMENTS[name] = sql
 
 
+def renamed(name: str, tables: tuple[str, ...], suffix: str) -> str:
+    """A fragment's SQL that reads other tables: each of ``tables`` with the suffix."""
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", rf"\1 \2{suffix}", _FRAGMENTS[name])
+
+
 def with_(names: str, body: str) -> str:
     """``body`` prefixed with the named fragments, in the order given."""
     ctes = ",\n".join(f"{n} AS ({_FRAGMENTS[n]})" for n in names.split())

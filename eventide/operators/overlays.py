@@ -6,12 +6,15 @@ past. They are open loop: computed on the unscaled return series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from eventide.functions import rolling as R
 from eventide.functions import scalars as S
+from eventide.operators import accounting
 
 
 def in_time() -> WindowSpec:
@@ -134,12 +137,13 @@ def dispersion_scale(dispersion: DataFrame, *, window: int = 252, kt: float = 2.
 
 
 def apply_scale(targets: DataFrame, scales: DataFrame, column: str, day: str = "as_of",
-                most: float | None = None) -> DataFrame:
+                most: float | None = None, borrow: bool = False) -> DataFrame:
     """Scale each day's weights by the latest scale known that day; what is not invested is cash.
 
     A day before the first scale keeps its weights. ``most`` bounds the scale; without
-    it a scale above one levers, as a volatility target allows. Weights are summed per
-    day and joined back, so a day may hold any number of names.
+    it a scale above one levers, as a volatility target allows. ``borrow`` shows what a
+    levered day borrows as negative cash, so that weights and cash add up to one. Weights
+    are summed per day and joined back, so a day may hold any number of names.
     """
     days = targets.select(day).distinct()
     known = scales.where(F.col(column).isNotNull()).select(F.col("date").alias(day), F.col(column).alias("_scale"))
@@ -150,5 +154,21 @@ def apply_scale(targets: DataFrame, scales: DataFrame, column: str, day: str = "
         filled = filled.withColumn("_scale", F.least("_scale", F.lit(most)))
     scaled = (targets.drop("cash_weight").join(F.broadcast(filled), day)  # one row per day
               .withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale"))
-    cash = scaled.groupBy(day).agg(F.greatest(F.lit(0.0), F.lit(1.0) - F.sum("weight")).alias("cash_weight"))
+    spare = F.lit(1.0) - F.sum("weight")
+    cash = scaled.groupBy(day).agg((spare if borrow else F.greatest(F.lit(0.0), spare)).alias("cash_weight"))
     return scaled.join(F.broadcast(cash), day)
+
+
+def account_scaled(targets: DataFrame, scales: DataFrame, columns: Sequence[str], predictions: DataFrame,
+                   grid: DataFrame, days: DataFrame, **account: object) -> dict[str, DataFrame]:
+    """A second pass of accounting over target weights times the product of several scales.
+
+    ``scales`` (date, ``columns``) come from the first, unscaled pass; a missing scale
+    counts as one. The scaled weights trade, pay costs and hold cash of their own, and a
+    levered day borrows at the return of cash. ``account`` goes to ``accounting.account``.
+    """
+    product = F.lit(1.0)
+    for column in columns:
+        product = product * F.coalesce(F.col(column), F.lit(1.0))
+    scaled = apply_scale(targets, scales.select("date", product.alias("_product")), "_product", borrow=True)
+    return accounting.account(scaled, predictions, grid, days, **account)
