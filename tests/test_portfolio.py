@@ -1,6 +1,7 @@
 """Weights, accounting, overlays and covariance against brute force."""
 
 import datetime as dt
+import hashlib
 from dataclasses import replace
 
 import numpy as np
@@ -203,6 +204,20 @@ def test_random_names_are_a_day_of_uniform_draws(spark):
     assert {t: sum(r.seq == t for r in got) for t in range(16)} == dict.fromkeys(range(16), 20)
 
 
+def test_random_names_draw_anew_every_day(spark):
+    days = spark.createDataFrame([(t, D(2024, 1, 1) + dt.timedelta(days=t)) for t in range(16)], "seq long, date date")
+    rows = [(f"N{i:04d}", i % 5, 15 - i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "internal_company_id string, _a long, _b long")
+    want = set()
+    for t in range(16):
+        day = D(2024, 1, 1) + dt.timedelta(days=t)
+        held = sorted((hashlib.sha1(f"42|{day}|{e}".encode()).hexdigest(), e) for e, a, b in rows if a <= t <= b)[:20]
+        want |= {(t, k, e) for k, (_, e) in enumerate(held, 1)}
+    for spare in (4.0, 1.0, 0.1):  # with little to spare days fall short and are ordered in full
+        got = B.random_names(df, days, 20, spare=spare).collect()
+        assert {(r.seq, r["_k"], r.internal_company_id) for r in got} == want and len(got) == len(want)
+
+
 def test_market_mode_share_matches_correlation(spark):
     rng = np.random.default_rng(8)
     t, n = 60, 15
