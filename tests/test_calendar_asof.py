@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import asof
 from eventide.operators import calendar as cal
+from eventide.session import materialize
 
 D = dt.date
 
@@ -61,6 +62,16 @@ def test_asof_strict_inclusive_and_null_rows(spark):
     assert get(False)[("k", 1)] == 1.0 and get(False)[("k", 3)] is None
 
 
+def test_asof_answers_of_few_keys_leave_the_left_rows_in_place(spark):
+    left = spark.range(2_000_000).select(F.lit("k").alias("k"), F.date_add(F.lit(D(2024, 1, 1)), (F.col("id") % 300).cast("int")).alias("at"),
+                                         F.col("id").cast("string").alias("note"))
+    right = spark.createDataFrame([("k", D(2024, 1, 1), 1.0), ("k", D(2024, 3, 1), 2.0)], "k string, d date, v double")
+    out = asof.asof_lookup(left, right, ["k"], "at", "d", ["v"], strict=False, stage=materialize)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert out.where("v = 1").select("at").distinct().count() == 60 and out.count() == 2_000_000
+
+
 def test_filled_grid_carries_forward_only(spark):
     c = cal.calendar_between(spark, "2024-01-02", "2024-01-09")
     days = cal.trading_days(c)
