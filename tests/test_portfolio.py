@@ -358,3 +358,34 @@ def test_turnover_limit(spark):
     old = spark.createDataFrame([(D(2024, 1, 1), "b", 1.0)], "as_of date, internal_company_id string, weight double")
     got = {r.internal_company_id: r.weight for r in W.limit_turnover(new, old, 0.25).collect()}
     assert got == {"a": 0.25, "b": 0.75}
+
+
+def test_decayed_candidates_from_intervals_equal_every_day_ranked(spark):
+    rng = np.random.default_rng(11)
+    c = cal.calendar_between(spark, "2023-12-20", "2025-06-30").localCheckpoint()
+    days = cal.trading_days(c).localCheckpoint()
+    dates = [r.date for r in c.orderBy("date").collect()]
+    rows = []
+    for e in range(60):
+        at = int(rng.integers(-260, 200))
+        for k in range(3):
+            length = int(rng.integers(1, 330))
+            signal = [0.9, 0.5, 0.5, 0.06, -0.4, None, float(rng.uniform(0.05, 1))][int(rng.integers(7))]
+            entry, leave = (dates[0] + dt.timedelta(days=x) for x in (at, at + length))
+            rows.append((f"p{e}-{k}", f"e{e:02d}", "ab"[e % 2], entry, leave, signal))
+            at += length + int(rng.integers(0, 20))
+    preds = spark.createDataFrame(rows, "sample_id string, internal_company_id string, market_id string, entry_date date, exit_date date, "
+                                        "predicted_signal double")
+    seqs = days.count()
+    vols = spark.createDataFrame([(m, s, None if (s // 30) % 5 == 4 and m == "a" else 0.01 + s / 1e4) for m in "ab" for s in range(3, seqs)],
+                                 "market_id string, seq int, vol_estimate double")
+    rules = C.PortfolioRules(max_positions=7)
+    pieces = C.active_pieces(preds, c, days).localCheckpoint()
+    for limits in ({}, {"floor": 0.0}, {"tau": 20.0, "floor": 0.3, "max_age": 15}):
+        active = C.with_risk(C.active_by_day(preds, c, days), vols, "market_id")
+        want = C.select_candidates(C.with_decayed_signal(active, **limits), rules)
+        got = C.decayed_candidates_by_day(pieces, vols, "market_id", c, days, rules, **limits)
+        assert sorted(got.columns) == sorted(want.columns)
+        wanted = {tuple(r) for r in want.collect()}
+        assert wanted and {tuple(r) for r in got.select(*want.columns).collect()} == wanted
+        assert got.count() == len(wanted)
