@@ -187,6 +187,28 @@ def test_top_by_day_equals_every_day_ranked(spark):
     assert covered == sorted((e, t) for e, _, a, b in rows for t in range(a, b + 1))
 
 
+def test_contenders_leave_few_rows_and_every_best(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        lo = int(rng.integers(0, 200))
+        s = None if i % 50 == 0 else float("nan") if i % 997 == 1 else float(rng.normal()) if i % 3 else 1.5
+        rows.append((f"N{i:04d}", i % 2, s, lo, min(199, lo + int(rng.integers(0, 120)))))
+    df = spark.createDataFrame(rows, "internal_company_id string, g int, s double, _a long, _b long")
+    rank = lambda s: (s is None, 0.0 if s is None else -float("inf") if s != s else -s)
+    for kinds, k in ((None, 5), (["g"], 5), (None, 4000)):
+        left = IT.contenders(df, 199, "s", k, kinds).collect()
+        days = [(r.internal_company_id, t) for r in left for t in range(r["_a"], r["_b"] + 1)]
+        assert len(days) == len(set(days)) and (len(left) < 1200 or k > 5)
+        for t in range(200):
+            for g in (0, 1) if kinds else (None,):
+                best = sorted((rank(s), e) for e, kind, s, a, b in rows if a <= t <= b and g in (None, kind))[:k]
+                assert {(e, t) for _, e in best} <= set(days)
+    order = lambda: [F.desc("s"), F.col("internal_company_id")]
+    plain, cut = (IT.top_by_day(df, 199, order, 5, lead=lead).select("seq", "_k", "internal_company_id") for lead in (None, "s"))
+    assert sorted(plain.collect()) == sorted(cut.collect())
+
+
 def test_within_spans_cuts_intervals(spark):
     vols = spark.createDataFrame([("m", t) for t in (2, 3, 4, 8, 9)], "k string, seq long")
     rows = spark.createDataFrame([("m", "x", 0, 8), ("m", "y", 5, 7), ("n", "z", 0, 9)], "k string, e string, _a long, _b long")
