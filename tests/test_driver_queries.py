@@ -1,5 +1,7 @@
 """A cross-section of registered queries against DuckDB on the smallest tables."""
 
+import datetime as dt
+
 import importlib.util
 import os
 
@@ -56,3 +58,27 @@ def test_top_lists_limit_before_the_shuffle(spark, sf_dir):
     from eventide.operators.candidates import select_candidates
     plan = select_candidates(V.active(spark, sf_dir), V.RULES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2 and "CartesianProduct" not in plan
+
+
+def test_lines_are_summed_by_market(spark, tmp_path):
+    """Prices shuffle a row per market and day and task, not a row per supplier and day."""
+    from eventide.driver import views as V
+
+    lines = [(s, dt.datetime(1995, 1, 1 + k % 3), 10.0 * k + (s or 9), 1.0 + (s or 9)) for k in range(6) for s in (1, 2, 3, None)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, 0), (8, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    of = {1: "7", 2: "7", 3: "8"}
+    for level, market in (("region", lambda s: "MKT0"), ("supplier", lambda s: f"MKT{s}")):
+        prices = V.daily_prices(spark, str(tmp_path), level)
+        want = {}
+        for s, d, p, q in lines:
+            if s in of:
+                total = want.setdefault((market(s), d.date()), [0.0, 0.0])
+                total[0] += p
+                total[1] += q
+        got = {(r.market_id, r.date): (r.adjusted_close, r.volume) for r in prices.collect()}
+        assert got == {k: (pytest.approx(p / q), pytest.approx(q)) for k, (p, q) in want.items()}
+    plan = V.daily_prices(spark, str(tmp_path), "region")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(market_id" in plan and "hashpartitioning(l_suppkey" not in plan
