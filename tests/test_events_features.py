@@ -132,6 +132,26 @@ def test_fact_versions_and_offsets(spark):
     assert cells(D(2023, 12, 31), extra=future) == cells(D(2023, 12, 31))
 
 
+def test_cells_move_once_per_entity(spark):
+    """Versions are shuffled once, by entity; periods, their ranks and the cells stay there."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = fe.fact_cells(_asked(spark, D(2023, 7, 18)), fe.fact_versions(_facts(spark)))
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.value for r in cells.collect()) == [1.0, 2.0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Raw facts to their versions, versions to their entity, samples to their entity.
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_undated_periods_have_no_cells(spark):
+    undated = (A, "f0", None, "10-Q", D(2023, 1, 5), 7.0, "Q1", 70)
+    asked = _asked(spark, D(2023, 7, 18)).withColumn("note", F.lit("kept"))
+    cells = fe.fact_cells(asked, fe.fact_versions(_facts(spark, [undated])), keep=["note"]).collect()
+    assert sorted((r.period_offset, r.value, r.note) for r in cells) == [(0, 2.0, "kept"), (1, 1.0, "kept")]
+
+
 def test_late_old_periods_do_not_hide_newer(spark):
     """Periods becoming visible out of order still give the newest visible ones."""
     rows = [(A, "f0", D(2020, m, 1), "10-Q", D(2021, a, 1), float(m), "Q1", m)
