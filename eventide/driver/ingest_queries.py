@@ -138,7 +138,9 @@ def nested_facts(spark, d):
                    F.year("ship").alias("fy"), F.lit("10-Q").alias("form"),
                    F.col("ship").cast("string").alias("filed"))
     page = ["o_custkey", "page"]
-    rows = rows.withColumn("page", F.floor(F.col("o_orderkey") / BLOCK))
+    # Lines meet by document as plain columns; text is made and nested where they are.
+    rows = rows.withColumn("page", F.floor(F.col("o_orderkey") / BLOCK)).select(
+        *page, "o_orderkey", "l_linenumber", "l_returnflag", "p_brand", "l_linestatus", "l_extendedprice", "ship").repartition(*page)
     units = rows.groupBy(*page, "l_returnflag", "p_brand", "l_linestatus").agg(
         F.collect_list(obs).alias("o"))
     nest = lambda df, keys, k, v, out: df.groupBy(*keys).agg(
